@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litlake.llm import mixing, neardup, packing, sentences, setjoin, splitting, termcounts, tokens
+from litlake.llm import mixing, neardup, packing, scans, sentences, setjoin, splitting, termcounts, tokens
 from litlake.llm.classes import connected_groups, expand_pairs, first_rows
 from litlake.operators.packed import split_packed
 from litlake.sources.tables import table
@@ -91,6 +91,36 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_terms(spark, sf_dir).where("mark is not null").select("field", "term", "mark")
 
 
+def _scanned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    papers = table(spark, sf_dir, "parsed_papers").select("stem", "title", "venue", "year", F.col("page_texts").alias("pages"))
+    captions = table(spark, sf_dir, "visual_items").select(F.col("source_stem").alias("stem"), F.col("item_index").alias("item"), "caption")
+    return scans.scan_papers(papers, captions)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The noise in each line of pages and captions."""
+    pages, captions = _scanned(spark, sf_dir)
+    a = pages.select("stem", F.explode("findings").alias("f")).select(
+        F.lit("page_texts").alias("field"), "stem", F.col("f.page").alias("item_no"), F.col("f.line").alias("line_no"), "f.noise"
+    )
+    b = captions.select("stem", "item", F.explode("findings").alias("f")).select(
+        F.lit("caption").alias("field"), "stem", F.col("item").alias("item_no"), F.col("f.line").alias("line_no"), "f.noise"
+    )
+    return a.unionByName(b).distinct()
+
+
+def p5_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The running paragraphs of each paper; papers parsed twice give theirs once."""
+    pages, _ = _scanned(spark, sf_dir)
+    return pages.select("stem", F.posexplode("paragraphs").alias("n", "paragraph")).select("stem", (F.col("n") + 1).alias("para_no"), "paragraph").distinct()
+
+
+def p5_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole captions."""
+    _, captions = _scanned(spark, sf_dir)
+    return captions.select("stem", F.col("item").alias("item_no"), "caption").distinct()
+
+
 def _abstracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     papers = first_rows(table(spark, sf_dir, "all_papers"), "paper_id", "pos", ["title", "abstract"])
     filled = papers.where("title <> '' and abstract <> ''")
@@ -150,6 +180,6 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_pieces, p3_found, p3_links, p4_found, p4_terms, p6_found, p6_groups, p7_containers, p7_fill, p8_mix, p8_shares, p9_found)
+    for f in (p1_found, p1_pieces, p3_found, p3_links, p4_found, p4_terms, p5_found, p5_paragraphs, p5_captions, p6_found, p6_groups, p7_containers, p7_fill, p8_mix, p8_shares, p9_found)
 }
 ORACLES: dict[str, str] = {}
