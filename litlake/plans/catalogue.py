@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from litlake.plans import packed
+from litlake.operators import match, tables
+from litlake.plans import documents, packed, papers
+from litlake.sources.tables import table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**packed.QUERIES}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**papers.QUERIES, **documents.QUERIES, **packed.QUERIES}
+ORACLES: dict[str, str] = {**papers.ORACLES, **documents.ORACLES}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed.p2_found(spark, sf_dir)
+    """Papers that speak of emotion or speech, with what matched and their status columns."""
+    kept = match.filter_papers(table(spark, sf_dir, "all_papers"), ["emotion", "speech"])
+    return tables.ensure_columns(kept.select("pos", "paper_id", "title", "matched_keywords"))
