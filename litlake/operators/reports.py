@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -121,10 +122,32 @@ def modality(explicit: Column, text: Column) -> Column:
     return F.coalesce(F.when(~t.is_blank(explicit), t.strip(explicit)), inferred)
 
 
+def _literals(pattern: str) -> list[str]:
+    """Strings that every match of a rule's pattern holds."""
+    plain = re.sub(r"\\[a-z]", " ", re.sub(r"[a-z0-9]\?", " ", pattern))
+    return re.findall("[a-z0-9]{2,}", plain)
+
+
+def _holds(text: Column, pattern: str) -> Column:
+    """Whether the pattern matches; a substring search, which is far cheaper, goes first."""
+    parts = _literals(pattern)
+    if parts == [pattern]:
+        return text.contains(pattern)
+    quick = [text.contains(p) for p in parts]
+    return reduce(lambda a, b: a & b, [*quick, text.rlike(pattern)])
+
+
 def rule_tags(text: Column) -> Column:
-    """Tags of the rules that fit, in the rules' order."""
-    lowered = F.lower(text)
-    return F.array_compact(F.array(*[F.when(lowered.rlike("|".join(patterns)), F.lit(tag)) for tag, patterns in TAG_RULES]))
+    """Tags of the rules that fit, in the rules' order.
+
+    The lower-cased text is bound once, however many rules read it.
+    """
+
+    def tags(lowered: Column) -> Column:
+        fits = [F.when(reduce(lambda a, b: a | b, [_holds(lowered, p) for p in patterns]), F.lit(tag)) for tag, patterns in TAG_RULES]
+        return F.array_compact(F.array(*fits))
+
+    return F.transform(F.array(F.lower(text)), tags)[0]
 
 
 def report_tags(text: Column, kind: Column, *own: Column, most: int = MOST_TAGS) -> Column:
