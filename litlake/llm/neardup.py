@@ -118,7 +118,11 @@ def near_classes(classes: DataFrame, threshold: float = 0.7) -> DataFrame:
 
 
 def near_duplicates(records: DataFrame, threshold: float = 0.7) -> tuple[DataFrame, DataFrame]:
-    """(members, links) of ``records`` (key string, text), one row per key: (key, cls) and (cls_a, cls_b, similarity)."""
+    """(members, links) of ``records`` (key string, text): (key, cls) and (cls_a, cls_b, similarity).
+
+    Repeated rows count once; a key with several texts is a member of several
+    classes.  Null texts and texts without letters or digits are left out.
+    """
     rows = cut_lineage(describe(records))
     classes = rows.drop("key").dropDuplicates(["cls"])
-    return rows.select("key", "cls"), near_classes(classes, threshold)
+    return rows.select("key", "cls").distinct(), near_classes(classes, threshold)

@@ -76,7 +76,7 @@ _LEXER = (
     ("UP", rf"(?:{_any([w for w in BEFORE_DIGIT if w[0].isupper()])})\.(?=\s*\d)"),
     ("LOW", rf"(?:{_any([w for w in BEFORE_DIGIT if not w[0].isupper()])})\.(?=\s*\d)"),
     ("UP", rf"\b[{_UP}]\.(?=[\s\-]*[{_UP}]|-)"),
-    ("LOW", r"\b[a-zà-ÿ]\.(?=\s|,)"),
+    ("LOW", r"\b[a-zà-ÿ]\.(?:\s?[A-Za-zÀ-ÿ]\.)*(?=\s|,)"),
     ("OTHL", r"(?:डॉ|प्रो|श्री|सुश्री|कृ|पं)\."),
     ("LOW", r"https?://[^\s<>\"”“«»　-鿿＀-￯]*[\w/]"),
     ("NAME", r"[a-z][a-z0-9\-]*(?=\s\d+\.\d)"),

@@ -94,12 +94,12 @@ def _keys(make: Callable[[list[int]], set[int]]) -> Callable[[Iterator[pd.DataFr
 
 
 def set_classes(sets: DataFrame, key: str, items: str, least: int) -> DataFrame:
-    """(key, cls, tokens): the distinct items as sorted 64-bit hashes; sets with fewer than ``least`` items are left out."""
-    tokens = F.array_sort(F.array_distinct(F.transform(F.filter(F.col(items), lambda x: x.isNotNull()), lambda x: F.xxhash64(x))))
+    """(key, cls, tokens) with the record's key as ``key``: the distinct items as sorted 64-bit hashes; sets with fewer than ``least`` items are left out."""
+    tokens = F.array_sort(F.array_distinct(F.transform(F.filter(F.col(f"`{items}`"), lambda x: x.isNotNull()), lambda x: F.xxhash64(x))))
     return (
-        sets.select(F.col(key).alias(key), tokens.alias("tokens"))
+        sets.select(F.col(f"`{key}`").alias("key"), tokens.alias("tokens"))
         .where(F.size("tokens") >= least)
-        .select(key, F.sha1(F.array_join(F.transform("tokens", lambda t: t.cast("string")), ",")).alias("cls"), "tokens")
+        .select("key", F.sha1(F.array_join(F.transform("tokens", lambda t: t.cast("string")), ",")).alias("cls"), "tokens")
     )
 
 
@@ -130,9 +130,10 @@ def similar_classes(classes: DataFrame, threshold: float) -> DataFrame:
 def similar_sets(sets: DataFrame, key: str, items: str, threshold: float = 0.6, least: int = 1) -> tuple[DataFrame, DataFrame]:
     """(members, links): (key, cls), and the similar pairs of classes (cls_a, cls_b, similarity).
 
-    ``sets`` has one row per record.  Null and empty sets, sets below ``least``
-    and null items are left out; items that a record repeats count once.
+    ``sets`` has one row per record; repeated rows count once, and a key with
+    several sets is a member of several classes.  Null and empty sets, sets below
+    ``least`` and null items are left out; items that a record repeats count once.
     """
     rows = cut_lineage(set_classes(sets, key, items, least))
     classes = rows.groupBy("cls").agg(F.first("tokens").alias("tokens"))
-    return rows.select(key, "cls"), similar_classes(classes, threshold)
+    return rows.select(F.col("key").alias(key), "cls").distinct(), similar_classes(classes, threshold)

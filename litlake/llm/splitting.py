@@ -95,24 +95,17 @@ def _split(keys: list[str], with_text: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for r in batch.itertuples(index=False):
-                text = r.text
-                pieces = split_text(text, int(r.max_size), int(r.overlap))
-                spans = paragraphs(text) if len(pieces) > 1 else []
+            labels = zip(*(batch[k] for k in keys), strict=True)
+            for label, text, limit, overlap in zip(labels, batch["text"], batch["max_size"], batch["overlap"], strict=True):
+                pieces = split_text(text, int(limit), int(overlap))
+                spans = paragraphs(text)
                 starts = [s for s, _ in spans]
                 for n, (start, end, kind) in enumerate(pieces, 1):
                     # The paragraph that the cut at ``end`` goes through, if any.
                     k = bisect_left(starts, end) - 1
                     through = n < len(pieces) and k >= 0 and spans[k][0] < end < spans[k][1]
-                    rows.append(
-                        (
-                            *(getattr(r, c) for c in keys),
-                            n, len(pieces), start, end, kind,
-                            k + 1 if through else None,
-                            spans[k][1] - spans[k][0] if through else None,
-                            *([text[start:end]] if with_text else []),
-                        )
-                    )
+                    place = (k + 1, spans[k][1] - spans[k][0]) if through else (None, None)
+                    rows.append((*label, n, len(pieces), start, end, kind, *place, *([text[start:end]] if with_text else [])))
             columns = [*keys, "piece_no", "pieces", "start", "end", "cut", "para_no", "para_chars", *["piece"] * with_text]
             out = pd.DataFrame(rows, columns=columns)
             yield out.astype({"para_no": "Int32", "para_chars": "Int64"})
