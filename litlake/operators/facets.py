@@ -10,7 +10,9 @@ from litlake.functions.text import first_filled
 
 def tag_counts(reports: DataFrame, tags: str = "tags") -> DataFrame:
     """(tag, n): in how many places each tag stands; nulls and empty arrays count nothing."""
-    return reports.select(F.explode(tags).alias("tag")).where("tag is not null and tag <> ''").groupBy("tag").agg(F.count("*").alias("n"))
+    # As an expression the array is evaluated once; of a column Spark would also filter its size below.
+    held = F.coalesce(F.col(tags), F.array().cast("array<string>"))
+    return reports.select(F.explode(held).alias("tag")).where("tag is not null and tag <> ''").groupBy("tag").agg(F.count("*").alias("n"))
 
 
 def facet_values(reports: DataFrame, column: str, order: str) -> DataFrame:

@@ -11,7 +11,7 @@ from litlake.plans import documents, packed, papers
 from litlake.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**papers.QUERIES, **documents.QUERIES, **packed.QUERIES}
-ORACLES: dict[str, str] = {**papers.ORACLES, **documents.ORACLES}
+ORACLES: dict[str, str] = {**papers.ORACLES, **documents.ORACLES, **packed.ORACLES}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
