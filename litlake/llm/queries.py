@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litlake.llm import mixing, neardup, packing, scans, sentences, setjoin, splitting, termcounts, tokens
+from litlake.llm import mixing, neardup, packing, scans, sentences, setjoin, splitting, sql, termcounts, tokens
 from litlake.llm.classes import connected_groups, expand_pairs, first_rows
 from litlake.operators.packed import split_packed
 from litlake.sources.tables import table
@@ -182,4 +182,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (p1_found, p1_pieces, p3_found, p3_links, p4_found, p4_terms, p5_found, p5_paragraphs, p5_captions, p6_found, p6_groups, p7_containers, p7_fill, p8_mix, p8_shares, p9_found)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = sql.ORACLES

@@ -48,3 +48,16 @@ def test_pairs_by_brute_force(spark):
     bags = {p: set(termcounts.words(f"{t} {a}")) for p, t, a in texts}
     want = {(a, b) for a, b in itertools.combinations(sorted(bags), 2) if len(bags[a] & bags[b]) / len(bags[a] | bags[b]) >= 0.7}
     assert {tuple(r) for r in queries.p6_found(spark, FOLDER).collect()} == want
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_against_sql(spark, name):
+    import os
+
+    con = duckdb.connect()
+    for file in os.listdir(FOLDER):
+        con.execute(f"CREATE VIEW {file.split('.')[0]} AS SELECT * FROM '{FOLDER}/{file}'")
+    df = queries.QUERIES[name](spark, FOLDER)
+    columns = ", ".join(df.columns)
+    want = con.execute(f"SELECT {columns} FROM ({queries.ORACLES[name]})").fetchall()
+    assert sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, want))
