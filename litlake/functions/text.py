@@ -7,6 +7,8 @@ null unless a function says otherwise.
 from __future__ import annotations
 
 import html
+import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -366,6 +368,86 @@ def named_section(text: Column, name: str, size: int = 1400) -> Column:
     return F.when(start > 0, truncate(taken, size)).otherwise("")
 
 
+def summary_key(column: Column) -> Column:
+    """A summary's heading without marks, punctuation and case."""
+    text = F.regexp_replace(column, rf"(?:[#`*_~>]|{SPACE})+", "")
+    return F.lower(F.regexp_replace(text, r"[：:，,。.!！?？（）()\[\]【】]+", ""))
+
+
+def summary_section(text: Column, names: list[str], size: int = 1200) -> Column:
+    """The body of the first heading with one of the names, up to a heading of its level or above, cut at the line that reaches ``size``; empty if there is none."""
+    wanted = [n.lower() for n in names]
+    start = F.struct(F.lit(0).alias("level"), F.array().cast("array<string>").alias("rows"), F.lit(0).alias("size"), F.lit(False).alias("done"))
+
+    def step(s: Column, line: Column) -> Column:
+        stripped = strip(line)
+        level = F.length(F.regexp_extract(stripped, r"^(#{1,6})\s+\S", 1))
+        title = F.regexp_extract(stripped, r"^#{1,6}\s+(.+?)\s*$", 1)
+        opens = (s["level"] == 0) & (level > 0) & summary_key(title).isin(*wanted)
+        ends = (s["level"] > 0) & (level > 0) & (level <= s["level"])
+
+        def state(level: Column, rows: Column, size: Column, done: Column) -> Column:
+            return F.struct(level.alias("level"), rows.alias("rows"), size.alias("size"), done.alias("done"))
+
+        grown = s["size"] + F.length(line) + 1
+        return (
+            F.when(s["done"] | ((s["level"] == 0) & ~opens), s)
+            .when(opens, state(level, s["rows"], s["size"], F.lit(False)))
+            .when(ends, state(s["level"], s["rows"], s["size"], F.lit(True)))
+            .otherwise(state(s["level"], F.array_append(s["rows"], line), grown, grown - 1 >= size))
+        )
+
+    return strip(F.aggregate(lines(text), start, step, lambda s: F.array_join(s["rows"], "\n")))
+
+
+def info_field(text: Column, field: str, section: str = "基本信息") -> Column:
+    """The value of a line ``field: value`` of a summary's section; empty if there is none."""
+    rows = F.transform(lines(summary_section(text, [section], 1000)), lambda x: strip(F.regexp_replace(x, r"^[>\-*\s]+", "")))
+    pattern = rf"^{re.escape(field)}\s*[:：]\s*(.+)$"
+    found = F.filter(rows, lambda x: x.rlike(pattern))
+    return F.when(F.size(found) > 0, intro_text(F.regexp_extract(found[0], pattern, 1))).otherwise("")
+
+
+def rewrite_images(text: Column, paths: Column) -> Column:
+    """Markdown images whose target is a key of the map ``paths`` get its value; addresses, fragments and other targets stay."""
+    targets = F.array_distinct(F.regexp_extract_all(text, F.lit(r"!\[[^\]]*\]\(([^)]+)\)"), F.lit(1)))
+    known = F.filter(targets, lambda x: ~x.rlike(r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://|#)") & paths[strip(x)].isNotNull())
+    return F.aggregate(known, text, lambda t, x: F.replace(t, F.concat(F.lit("]("), x, F.lit(")")), F.concat(F.lit("]("), paths[strip(x)], F.lit(")"))))
+
+
+def json_search(document: Column, keys: list[str]) -> Column:
+    """The first filled value of one of the keys in a JSON document, depth first, an object's own keys before its children, as text; null if there is none.
+
+    Shapes are unknown, so documents that hold a key's name go through Python.
+    """
+
+    def find(data: object) -> object:
+        if isinstance(data, dict):
+            for key in keys:
+                if data.get(key) not in (None, ""):
+                    return data[key]
+        for child in data.values() if isinstance(data, dict) else data if isinstance(data, list) else ():
+            if (found := find(child)) not in (None, ""):
+                return found
+        return None
+
+    def one(text: str) -> str | None:
+        try:
+            value = find(json.loads(text))
+        except ValueError:
+            return None
+        return None if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+
+    @F.pandas_udf(T.StringType())
+    def search(values: pd.Series) -> pd.Series:
+        return values.map(one, na_action="ignore")
+
+    held = F.lit(False)
+    for key in keys:
+        held = held | document.contains(f'"{key}"')
+    return search(F.when(held, document))
+
+
 def bibliography_line(line: Column) -> Column:
     """struct(title, url) of a line ``+ title [Paper](url)``; null for other lines."""
     pattern = r"^\s*\+\s+(.+?)\s*\[Paper\]\(([^)]+)\)"

@@ -208,6 +208,25 @@ def chinese_introduction(current: Column, title: Column) -> Column:
     return F.when(F.coalesce(t.has_han(current), F.lit(False)), t.intro_text(current)).otherwise(general)
 
 
+def introduction_from_summary(markdown: Column) -> Column:
+    """Good sentences on core question, method, motivation and task of a Chinese summary, until 220 characters, cut to 320; empty if there are none."""
+
+    def first_good(names: list[str]) -> Column:
+        body = t.intro_text(t.summary_section(markdown, names, 1200))
+        good = F.filter(t.simple_sentences(body), good_chinese)
+        return F.when(F.size(good) > 0, good[0]).when(good_chinese(body), body).otherwise("")
+
+    found = F.array(
+        first_good(["核心问题"]), first_good(["方法介绍", "方法概述"]), first_good(["动机和思想"]), t.info_field(markdown, "研究任务")
+    )
+    kept = F.aggregate(
+        F.array_distinct(F.filter(F.transform(found, lambda x: t.intro_text(x)), good_chinese)),
+        F.lit(""),
+        lambda held, x: F.when(F.length(held) >= 220, held).otherwise(F.concat_ws(" ", F.nullif(held, F.lit("")), x)),
+    )
+    return t.truncate_intro(kept, 320)
+
+
 def report_paths(ident: Column) -> Column:
     """struct of the paths that belong to a report."""
     return F.struct(

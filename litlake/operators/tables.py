@@ -79,10 +79,10 @@ def first_status_row(names: DataFrame, status: DataFrame, order: str) -> DataFra
 
 def reconcile_files(papers: DataFrame, expected: Column, files: DataFrame) -> DataFrame:
     """``pdf_path`` is the expected name; ``download_status`` says whether ``files`` (path) has it, whatever it said before."""
-    there = files.select(base_name(F.col("path")).alias("__file")).distinct()
+    there = files.select(base_name(F.col("path")).alias("__found_file")).distinct()
     named = papers.drop("pdf_path", "download_status").withColumn("pdf_path", expected)
-    joined = named.join(there, named["pdf_path"] == there["__file"], "left")
-    return joined.withColumn("download_status", F.when(F.col("__file").isNotNull(), "downloaded").otherwise("missing")).drop("__file")
+    joined = named.join(there, named["pdf_path"] == there["__found_file"], "left")
+    return joined.withColumn("download_status", F.when(F.col("__found_file").isNotNull(), "downloaded").otherwise("missing")).drop("__found_file")
 
 
 def without_artefacts(items: DataFrame, artefacts: DataFrame, key: str) -> DataFrame:

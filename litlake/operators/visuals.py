@@ -272,3 +272,43 @@ def place_visuals(items: DataFrame, summaries: DataFrame, doc: str, text: str) -
     picked = scored.groupBy(*items.columns).agg(best.alias("b"))
     fits = F.col("b.heading_score") > 0
     return picked.select(*items.columns, F.when(fits, F.col("b.heading")).alias("heading"), F.when(fits, F.col("b.heading_score")).alias("heading_score"))
+
+
+def render_visual(path: Column, label: Column, caption: Column) -> Column:
+    """An HTML block of a figure with its caption."""
+    image = F.concat(F.lit('<p align="center">\n  <img src="'), path, F.lit('" alt="'), label, F.lit('" />\n</p>'))
+    return F.concat(image, F.when(caption != "", F.concat(F.lit('\n<p align="center"><em>'), caption, F.lit("</em></p>"))).otherwise(""))
+
+
+def insert_visuals(summaries: DataFrame, items: DataFrame, doc: str, text: str, most: int = 8) -> DataFrame:
+    """(doc, text): summaries with the ``most`` best items of their documents below the headings they belong to.
+
+    Items without a path, or whose path the summary has, are left out; items
+    that fit no heading stand in a section of their own at the end, named by
+    their kind of section.  Headings of related figures are removed.
+    """
+    best = top_visuals(items, doc, most).where("coalesce(path, '') <> ''").select(*items.columns)
+    here = summaries.select(doc, text)
+    fresh = best.join(here, doc).where(~F.col(text).contains(F.concat(F.lit("]("), F.col("path"), F.lit(")")))).select(*items.columns)
+    placed = place_visuals(fresh, here, doc, text)
+    label = F.concat(F.initcap(F.when(F.col("kind") == "table", "table").otherwise("figure")), F.lit(" "), F.coalesce(F.nullif(visual_number(F.coalesce("caption", F.lit("")), F.col("kind")), F.lit("")), F.col("item_index").cast("string")))
+    block = F.struct("item_index", render_visual(F.col("path"), label, F.coalesce(chinese_caption(F.col("caption")), F.lit(""))).alias("html"))
+    ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.col("__block"))), lambda x: x["html"]), "\n\n")
+    blocks = placed.withColumn("__section", visual_section()).withColumn("__block", block)
+    below = blocks.where("heading is not null").groupBy(doc, "heading").agg(ordered.alias("__html"))
+    rest = blocks.where("heading is null").groupBy(doc, "__section").agg(ordered.alias("__html"))
+    ends = rest.groupBy(doc).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__section", "__html"))), lambda x: F.concat(F.lit("\n\n## "), x["__section"], F.lit("\n"), x["__html"])), "").alias("__end")
+    )
+    rows = here.select(doc, F.posexplode(F.split(text, "\n")).alias("pos", "line")).where(
+        ~(F.col("line").rlike(r"^#{2,4}\s") & (heading_key(F.col("line")) == "相关图表"))
+    )
+    title = F.regexp_extract("line", r"^#{2,4}\s+(.+?)\s*$", 1)
+    rows = rows.withColumn("heading", F.nullif(title, F.lit("")))
+    first = Window.partitionBy(doc, "heading").orderBy("pos")
+    rows = rows.withColumn("__n", F.when(F.col("heading").isNotNull(), F.row_number().over(first)))
+    joined = rows.join(below, [doc, "heading"], "left")
+    line = F.when((F.col("__n") == 1) & F.col("__html").isNotNull(), F.concat("line", F.lit("\n\n"), "__html", F.lit("\n"))).otherwise(F.col("line"))
+    whole = joined.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))).alias("__rows"))
+    out = whole.join(ends, doc, "left")
+    return out.select(doc, F.concat(F.array_join(F.transform("__rows", lambda x: x["line"]), "\n"), F.coalesce("__end", F.lit(""))).alias(text))
