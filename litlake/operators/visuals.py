@@ -29,21 +29,36 @@ ALIASES = {
 
 # Words that speak for a heading.
 HEADING_WORDS = {
-    "基本信息": "title venue conference year paper 作者 标题 会议 年份".split(),
-    "核心问题": ["problem", "challenge", "motivation", "background", "limitation of existing", "问题", "挑战", "动机", "背景"],
-    "动机和思想": "motivation idea insight intuition 思想 动机 直觉 启发".split(),
-    "方法概述": (
-        "method model framework architecture pipeline algorithm module overview approach training inference prompt loss "
-        "方法 模型 框架 结构 流程 算法 模块 训练 推理"
-    ).split(),
-    "实验设置": "dataset benchmark metric baseline setting protocol implementation 数据集 基准 指标 基线 设置 协议 实现".split(),
-    "主要结果": (
-        "result experiment comparison performance accuracy f1 score benchmark ablation generalization "
-        "结果 实验 性能 准确率 对比 消融 泛化"
-    ).split(),
-    "贡献展示": "contribution 贡献 propose introduce 提出 构建".split(),
-    "局限与风险": ["limitation", "failure", "risk", "weakness", "future work", "局限", "不足", "风险", "失败", "未来"],
-    "可借鉴点": "takeaway lesson insight future 借鉴 启示 参考".split(),
+    "基本信息": [
+        "title", "venue", "conference", "year", "paper", "作者", "标题", "会议", "年份",
+    ],
+    "核心问题": [
+        "problem", "challenge", "motivation", "background", "limitation of existing", "问题", "挑战", "动机", "背景",
+    ],
+    "动机和思想": [
+        "motivation", "idea", "insight", "intuition", "思想", "动机", "直觉", "启发",
+    ],
+    "方法概述": [
+        "method", "model", "framework", "architecture", "pipeline", "algorithm", "module", "overview", "approach", "training",
+        "inference", "prompt", "loss", "方法", "模型", "框架", "结构", "流程", "算法", "模块", "训练", "推理",
+    ],
+    "实验设置": [
+        "dataset", "benchmark", "metric", "baseline", "setting", "protocol", "implementation", "数据集", "基准", "指标", "基线", "设置",
+        "协议", "实现",
+    ],
+    "主要结果": [
+        "result", "experiment", "comparison", "performance", "accuracy", "f1", "score", "benchmark", "ablation", "generalization",
+        "结果", "实验", "性能", "准确率", "对比", "消融", "泛化",
+    ],
+    "贡献展示": [
+        "contribution", "贡献", "propose", "introduce", "提出", "构建",
+    ],
+    "局限与风险": [
+        "limitation", "failure", "risk", "weakness", "future work", "局限", "不足", "风险", "失败", "未来",
+    ],
+    "可借鉴点": [
+        "takeaway", "lesson", "insight", "future", "借鉴", "启示", "参考",
+    ],
 }
 
 # Fixed values: (heading, points, pattern over the visual's text).
