@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from litlake.functions.text import first_filled
+from litlake.functions.text import first_filled, squeeze
 
 
 def tag_counts(reports: DataFrame, tags: str = "tags") -> DataFrame:
@@ -29,18 +29,26 @@ def report_order(kind: str) -> list[Column]:
     return [*orders[kind], F.col("id")]
 
 
-def report_view(reports: DataFrame) -> DataFrame:
-    """Reports with defaults: titles for each other, id from the slug's tail, numeric year, empty strings and arrays for nulls."""
-    slug_tail = F.regexp_extract(F.coalesce(F.col("slug"), F.lit("")), r"([^/]+)/*$", 1)
+def report_view(reports: DataFrame, order: str = "pos") -> DataFrame:
+    """Reports with defaults: titles for each other, else the id; the id from the slug's tail, else ``paper-`` and the row's place; a numeric year or null.
+
+    Fixed values: Uncategorized, Unknown and unknown stand for missing categories, types, venues and modalities.
+    """
+    slug_tail = F.regexp_extract(F.coalesce(F.col("slug"), F.lit("")), r"([^/]*)$", 1)
+    ident = first_filled(F.col("id"), slug_tail, F.concat(F.lit("paper-"), (F.col(order) + 1).cast("string")))
+    year = F.col("year").try_cast("int")
+    tags = F.filter(F.transform(F.coalesce("tags", F.array().cast("array<string>")), lambda x: squeeze(x)), lambda x: x != "")
     return reports.select(
-        first_filled(F.col("id"), slug_tail).alias("id"),
-        first_filled(F.col("title"), F.col("fullTitle")).alias("title"),
-        first_filled(F.col("fullTitle"), F.col("title")).alias("fullTitle"),
-        F.coalesce(F.col("year").try_cast("int"), F.lit(0)).alias("year"),
-        first_filled(F.col("venue")).alias("venue"),
-        first_filled(F.col("modality")).alias("modality"),
-        F.coalesce("tags", F.array().cast("array<string>")).alias("tags"),
+        ident.alias("id"),
+        first_filled(F.col("title"), F.col("fullTitle"), ident).alias("title"),
+        first_filled(F.col("fullTitle"), F.col("title"), ident).alias("fullTitle"),
+        F.nullif(year, F.lit(0)).alias("year"),
+        first_filled(F.col("category"), F.lit("Uncategorized")).alias("category"),
+        first_filled(F.col("type"), F.lit("Unknown")).alias("type"),
+        first_filled(F.col("modality"), F.lit("unknown")).alias("modality"),
+        tags.alias("tags"),
         first_filled(F.col("introduction")).alias("introduction"),
+        first_filled(F.col("venue"), F.lit("Unknown")).alias("venue"),
     )
 
 

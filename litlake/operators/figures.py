@@ -5,29 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from litlake.functions.text import lines, squeeze, strip
+from litlake.functions.text import lines, strip
 
 # What starts a label, and what ends a caption.
-LABEL = r"(?i)^(fig(?:ure)?\.?|table)\s*\d+"
-STOP = r"(?i)^(?:fig(?:ure)?\.?\s*\d|table\s*\d|\d+(?:\.\d+)*\s+[A-Z]|abstract|introduction|references|conclusion)"
+LABEL = r"(?i)^((?:fig(?:ure)?\.?|table)\s*\d+)"
+STOP = r"(?i)^(?:fig(?:ure)?\.?|table|abstract|introduction|conclusion)"
 
 
 def figure_labels(docs: DataFrame, key: str, text: str, following: int = 5, size: int = 600) -> DataFrame:
-    """(key, label, line_no, caption): the last line of each label with up to ``following`` lines after it, before any that stops a caption."""
-    rows = docs.select(key, F.posexplode(lines(F.col(text))).alias("line_no", "line")).withColumn("line", strip(F.col("line")))
+    """(key, label, line_no, caption): the last line of each label, joined with up to ``following`` lines before one that stops a caption.
+
+    Lines are the non-blank ones, numbered from 0; null texts have none.
+    """
+    kept = F.filter(F.transform(lines(F.col(text)), lambda x: strip(x)), lambda x: x != "")
+    rows = docs.select(key, F.posexplode(kept).alias("line_no", "line"))
     order = Window.partitionBy(key).orderBy("line_no").rowsBetween(1, following)
     near = rows.withColumn("__next", F.collect_list("line").over(order)).where(F.col("line").rlike(LABEL))
-    kept = F.aggregate(
-        "__next",
-        F.struct(F.array().cast("array<string>").alias("rows"), F.lit(False).alias("over")),
-        lambda s, x: F.when(s["over"] | (x == "") | x.rlike(STOP), F.struct(s["rows"].alias("rows"), F.lit(True).alias("over"))).otherwise(
-            F.struct(F.array_append(s["rows"], x).alias("rows"), F.lit(False).alias("over"))
-        ),
-        lambda s: s["rows"],
-    )
-    caption = F.substring(squeeze(F.concat_ws(" ", F.col("line"), F.array_join(kept, " "))), 1, size)
-    label = F.lower(squeeze(F.regexp_extract("line", LABEL.replace("(fig(?:ure)?\\.?|table)\\s*\\d+", "((?:fig(?:ure)?\\.?|table)\\s*\\d+)"), 1)))
-    found = near.select(key, label.alias("label"), "line_no", caption.alias("caption"))
+    stop = F.array_position(F.transform("__next", lambda x: x.rlike(STOP)), True)
+    more = F.when(stop > 0, F.slice("__next", F.lit(1), (stop - 1).cast("int"))).otherwise(F.col("__next"))
+    caption = F.substring(F.concat_ws(" ", F.col("line"), F.nullif(F.array_join(more, " "), F.lit(""))), 1, size)
+    found = near.select(key, F.lower(F.regexp_extract("line", LABEL, 1)).alias("label"), "line_no", caption.alias("caption"))
     return found.groupBy(key, "label").agg(F.max("line_no").alias("line_no"), F.max_by("caption", "line_no").alias("caption"))
 
 

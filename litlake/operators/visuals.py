@@ -218,16 +218,27 @@ def chinese_caption(caption: Column) -> Column:
 
 
 def context_lines(items: DataFrame, doc: str, most: int = 6) -> DataFrame:
-    """(doc, context): Markdown bullets of the ``most`` best items in document order."""
+    """(doc, context): the ``most`` best items in document order as Markdown, each with what it has."""
     best = top_visuals(items, doc, most)
-    line = F.concat(
-        F.lit("- ["), F.col("kind"), F.lit(" "), F.col("item_index"), F.lit("] "), F.coalesce("caption", F.lit("")),
-        F.lit("\n  - before: "), truncate(F.coalesce("before_text", F.lit("")), 160),
-        F.lit("\n  - after: "), truncate(F.coalesce("after_text", F.lit("")), 160),
-        F.when(F.coalesce(F.col("table_body"), F.lit("")) != "", F.concat(F.lit("\n  - table: "), truncate(F.col("table_body"), 220))).otherwise(""),
-    )
-    rows = best.select(doc, F.struct("item_index", line.alias("line")).alias("x"))
-    return rows.groupBy(doc).agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n").alias("context"))
+
+    def part(label: str, value: Column) -> Column:
+        return F.when(F.coalesce(value, F.lit("")) != "", F.concat(F.lit(f"\n- {label}："), value))
+
+    lines = F.concat_ws(
+        "",
+        F.concat(F.lit("### "), F.initcap(F.when(F.col("kind") == "table", "table").otherwise("figure")), F.lit(" "), F.col("item_index")),
+        part("类型", F.col("kind")),
+        part("页码", F.when(F.col("page") > 0, F.col("page").cast("string")).otherwise("未知")),
+        part("Markdown 图片路径", F.concat(F.lit("`"), F.nullif("path", F.lit("")), F.lit("`"))),
+        part("所在章节", F.col("section")),
+        part("Caption", F.col("caption")),
+        part("Footnote", F.col("footnote")),
+        part("前文上下文", truncate(F.col("before_text"), 160)),
+        part("后文上下文", truncate(F.col("after_text"), 160)),
+        part("表格内容摘录", truncate(F.col("table_body"), 220)),
+    )
+    rows = best.select(doc, F.struct("item_index", lines.alias("line")).alias("x"))
+    return rows.groupBy(doc).agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n\n").alias("context"))
 
 
 def headings(summaries: DataFrame, doc: str, text: str, least: int = 2, most: int = 2) -> DataFrame:

@@ -74,6 +74,14 @@ def test_facets(spark):
     assert [r["title"] for r in facets.top_rows(reports, 3, *facets.report_order("recent")).collect()] == ["z", "x", "y"]
 
 
+def test_report_view(spark):
+    schema = "pos int, id string, slug string, title string, fullTitle string, year string, category string, type string, modality string, tags array<string>, introduction string, venue string"
+    df = spark.createDataFrame([(0, None, "/blog/x-1", None, "F", "2024", *[None] * 3, [" a ", ""], None, "V"), (4, *[None] * 11)], schema)
+    a, b = facets.report_view(df).collect()
+    assert (a["id"], a["title"], a["year"], a["tags"], a["venue"]) == ("x-1", "F", 2024, ["a"], "V")
+    assert (b["id"], b["title"], b["year"], b["tags"], b["venue"], b["modality"]) == ("paper-5", "paper-5", None, [], "Unknown", "unknown")
+
+
 def test_log_tail_with_hot_job(spark):
     log = spark.createDataFrame([("hot", i, "s", f"m{i}") for i in range(3000)] + [("cold", 1, None, "m"), ("cold", 1, None, "m")], "job_id string, logged_at long, stream string, message string")
     out = joblog.log_tail(log, 10)

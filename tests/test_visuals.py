@@ -71,7 +71,7 @@ def test_place_visuals(spark):
 
 
 def test_figures(spark):
-    docs = spark.createDataFrame([("d", "Figure 1: one\nmore\n\nfig. 2 two\nTable 1 t\nx"), ("e", None)], "k string, text string")
+    docs = spark.createDataFrame([("d", "Figure 1: one\nmore\n\nfig. 2 two\nTable 1 t\nx\nConclusion\ny"), ("e", None)], "k string, text string")
     labels = figures.figure_labels(docs, "k", "text")
     assert {r["label"]: r["caption"] for r in labels.collect()} == {"figure 1": "Figure 1: one more", "fig. 2": "fig. 2 two", "table 1": "Table 1 t x"}
     pages = spark.createDataFrame([("d", 0), ("d", 9)], "k string, page int")
