@@ -96,11 +96,10 @@ def _keys(make: Callable[[list[int]], set[int]]) -> Callable[[Iterator[pd.DataFr
 def set_classes(sets: DataFrame, key: str, items: str, least: int) -> DataFrame:
     """(key, cls, tokens) with the record's key as ``key``: the distinct items as sorted 64-bit hashes; sets with fewer than ``least`` items are left out."""
     tokens = F.array_sort(F.array_distinct(F.transform(F.filter(F.col(f"`{items}`"), lambda x: x.isNotNull()), lambda x: F.xxhash64(x))))
-    return (
-        sets.select(F.col(f"`{key}`").alias("key"), tokens.alias("tokens"))
-        .where(F.size("tokens") >= least)
-        .select("key", F.sha1(F.array_join(F.transform("tokens", lambda t: t.cast("string")), ",")).alias("cls"), "tokens")
-    )
+    # The generator keeps what is below it from being evaluated once for each use of the tokens.
+    once = sets.select(F.col(f"`{key}`").alias("key"), F.explode(F.array(tokens)).alias("tokens"))
+    digest = F.sha1(F.array_join(F.transform("tokens", lambda t: t.cast("string")), ","))
+    return once.where(F.size("tokens") >= least).select("key", digest.alias("cls"), "tokens")
 
 
 def similar_classes(classes: DataFrame, threshold: float) -> DataFrame:
