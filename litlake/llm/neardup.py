@@ -4,7 +4,8 @@ Method: multi-index hashing.  A record's fingerprint has one bit for each of
 ``SEGMENTS * WIDTH + 64`` min-wise hashes of its word set, so two records with
 Jaccard similarity J differ in (1-J)/2 of the bits.  The fingerprint is cut into
 ``SEGMENTS`` segments; a record looks up, in each segment's table, its own value
-and all values at Hamming distance 1.  Candidates must agree in a check word,
+and all values at Hamming distance 1 (of two neighbours the one of even parity
+does so).  Candidates must agree in a check word,
 then the complete distance is verified, then the word sets themselves are
 compared exactly.
 
@@ -87,15 +88,17 @@ def near_classes(classes: DataFrame, threshold: float = 0.7) -> DataFrame:
     slots = classes.select(rid.alias("rid"), "check", F.posexplode("segments").alias("seg", "val"))
     # One table for all segments: the segment's number stands above its bits.
     table = slots.select((F.col("seg") * (1 << WIDTH) + F.col("val")).alias("slot"), F.col("rid").alias("r"), F.col("check").alias("c"))
-    ball = F.concat(F.array(F.lit(0)), F.transform(F.sequence(F.lit(0), F.lit(WIDTH - 1)), lambda i: F.expr("1").cast("int") * F.pow(F.lit(2), i).cast("int")))
-    probes = slots.select("rid", "check", "seg", "val", F.explode(ball).alias("flip")).select(
+    # Neighbours at distance 1 differ in parity, so only values of even parity need to look up their neighbours.
+    own = F.array(F.lit(0))
+    ball = F.array(*[F.lit(0 if i < 0 else 1 << i) for i in range(-1, WIDTH)])
+    flips = F.when(F.bit_count("val") % 2 == 0, ball).otherwise(own)
+    probes = slots.select("rid", "check", "seg", "val", F.explode(flips).alias("flip")).select(
         (F.col("seg") * (1 << WIDTH) + F.col("val").bitwiseXOR(F.col("flip"))).alias("slot"), "rid", "check"
     )
-    # The look-up finds a pair from both sides; the smaller identifier keeps it.
     found = (
         probes.join(table.hint("shuffle_hash"), "slot")
-        .where((F.col("rid") < F.col("r")) & (F.bit_count(F.col("check").bitwiseXOR(F.col("c"))) <= CHECK_LIMIT))
-        .select("rid", "r")
+        .where((F.col("rid") != F.col("r")) & (F.bit_count(F.col("check").bitwiseXOR(F.col("c"))) <= CHECK_LIMIT))
+        .select(F.least("rid", "r").alias("rid"), F.greatest("rid", "r").alias("r"))
         .distinct()
     )
     whole = classes.select(rid.alias("rid"), "segments")
