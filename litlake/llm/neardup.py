@@ -29,8 +29,9 @@ from litlake.session import cut_lineage
 
 SEGMENTS, WIDTH = 24, 20
 BITS = SEGMENTS * WIDTH
-#: Bits of the check word, and of all segments, in which candidates may differ: 5 standard deviations above J = 0.7.
-CHECK_LIMIT, FULL_LIMIT = 24, 111
+#: Bits of the check word, and of all segments, in which candidates may differ; a pair at J = 0.7 goes beyond
+#: with probability 0.0002 and 0.000003.
+CHECK_LIMIT, FULL_LIMIT = 20, 111
 
 
 def _hashes() -> tuple[np.ndarray, np.ndarray]:
