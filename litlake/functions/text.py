@@ -164,6 +164,11 @@ def strip_query(url: Column) -> Column:
     return F.regexp_replace(url, r"[?#].*$", "")
 
 
+def join_url(base: Column, path: Column) -> Column:
+    """An address below a base address; whole addresses stay, one slash stands between."""
+    return F.when(is_url(path), path).otherwise(F.concat(F.regexp_replace(base, "/+$", ""), F.lit("/"), F.regexp_replace(path, "^/+", "")))
+
+
 def is_url(value: Column) -> Column:
     return value.startswith("http://") | value.startswith("https://")
 

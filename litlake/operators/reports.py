@@ -160,6 +160,13 @@ def report_tags(text: Column, kind: Column, *own: Column, most: int = MOST_TAGS)
     return F.slice(t.distinct_ignoring_case(normal), 1, most)
 
 
+def merge_tags(generated: Column, existing: Column, most: int = MOST_TAGS) -> Column:
+    """Both arrays' tags, normalised, distinct without regard to case, the first ``most``; null arrays count as empty."""
+    none = F.array().cast("array<string>")
+    normal = F.transform(F.concat(F.coalesce(generated, none), F.coalesce(existing, none)), normalize_tag)
+    return F.slice(t.distinct_ignoring_case(F.filter(normal, lambda x: x.isNotNull())), 1, most)
+
+
 def report_id(explicit: Column, title: Column, stem: Column) -> Column:
     """Slug of the explicit id; else of the title's or stem's acronym; else of the title; else of the stem."""
     own = F.trim(F.regexp_replace(t.strip(F.coalesce(explicit, F.lit(""))), "(?i)^/blog/", ""), F.lit("/"))

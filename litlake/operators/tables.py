@@ -118,6 +118,16 @@ def resolve_assets(refs: DataFrame, files: DataFrame) -> DataFrame:
     return out.withColumn("path", F.coalesce("__exact", "__first")).drop("__exact", "__first", "__name")
 
 
+def first_artefact(items: DataFrame, names: list[str], files: DataFrame, out: str = "artefact") -> DataFrame:
+    """``items`` with the first of the columns ``names`` whose value is the path of a file of ``files`` (path); null if none is."""
+    there = files.select(F.col("path").alias("__path")).distinct()
+    joined, found = items, []
+    for i, name in enumerate(names):
+        joined = joined.join(there.withColumnRenamed("__path", f"__path{i}"), F.col(f"`{name}`") == F.col(f"__path{i}"), "left")
+        found.append(F.col(f"__path{i}"))
+    return joined.select(*[F.col(f"`{c}`") for c in items.columns], F.coalesce(*found).alias(out))
+
+
 def assign_ids(df: DataFrame, key: str, order: str, group: str) -> DataFrame:
     """Within each group, in order: an id that is a positive whole number not used before is kept; others get the smallest unused from a moving counter.
 

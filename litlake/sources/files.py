@@ -209,3 +209,44 @@ def resolve_source(conference: Column, source: Column) -> Column:
     # Venues whose papers are notes.
     notes = F.upper(strip(conference)).isin("ICLR", "ICML", "NEURIPS")
     return F.when(F.lower(source) != "auto", F.lower(source)).when(notes, "openreview").otherwise("openaccess")
+
+
+def paper_rows(pairs: DataFrame, kind: str = "", first: int = 1) -> DataFrame:
+    """Papers of title and link pairs (url, pos, title, link): ids from ``first`` in order of page and place, empty strings for what is not known.
+
+    Places within a page are joined with the number of pairs on the pages before
+    it, so no window runs over all rows.
+    """
+    from pyspark.sql import Window
+
+    sizes = pairs.groupBy("url").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("url").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("url", before.alias("__before"))
+    number = F.col("__before") + F.row_number().over(Window.partitionBy("url").orderBy("pos")) + (first - 1)
+    empty = F.lit("")
+    return pairs.join(starts, "url").select(
+        number.cast("string").alias("paper_id"), "title", F.lit(kind).alias("type"), empty.alias("keywords"), empty.alias("abstract"), F.col("link").alias("url")
+    )
+
+
+def block_files(listing: DataFrame) -> DataFrame:
+    """(folder, path): of each folder of ``listing`` (path) its block file: the first ``_content_list.json``, else the first ``_content_list_v2.json``."""
+    rank = F.when(F.col("path").endswith("_content_list.json"), 0).when(F.col("path").endswith("_content_list_v2.json"), 1)
+    named = listing.withColumn("__rank", rank).where(F.col("__rank").isNotNull())
+    return named.groupBy(F.regexp_replace("path", "/[^/]*$", "").alias("folder")).agg(F.min(F.struct("__rank", "path")).alias("x")).select("folder", "x.path")
+
+
+def latest_files(listing: DataFrame, key: str) -> DataFrame:
+    """(key, path): the most recently modified path of each key of ``listing`` (key, path, modificationTime); ties go to the last path."""
+    return listing.groupBy(key).agg(F.max(F.struct("modificationTime", "path")).alias("x")).select(key, "x.path")
+
+
+def tables_named(spark: SparkSession, folder: str, key: str) -> DataFrame:
+    """All CSV tables of a folder whose name holds ``key``, whatever its case, with the file's name as ``source_file``; none is an error."""
+    pattern = "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in key)
+    names = spark.read.format("binaryFile").option("pathGlobFilter", f"*{pattern}*.csv").load(folder).select("path")
+    paths = [r[0] for r in names.collect()]  # one row per file of a folder
+    if not paths:
+        raise FileNotFoundError(f"no table named {key} in {folder}")
+    df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(paths)
+    return nulls_of_csv(df).withColumn("source_file", F.element_at(F.split(F.input_file_name(), "/"), -1))

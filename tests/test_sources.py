@@ -81,6 +81,20 @@ def test_pages_and_notes(spark):
     assert tuple(files.venue_notes(notes).first()) == ("q", "a b", "oral", "k,l", "", "https://openreview.net/forum?id=q")
 
 
+def test_rows_and_choices(spark, tmp_path):
+    pairs = spark.createDataFrame([("b", 0, "t3", "l3"), ("a", 1, "t2", "l2"), ("a", 0, "t1", "l1")], "url string, pos int, title string, link string")
+    assert sorted(tuple(r) for r in files.paper_rows(pairs).select("paper_id", "title", "url").collect()) == [("1", "t1", "l1"), ("2", "t2", "l2"), ("3", "t3", "l3")]
+    listing = spark.createDataFrame([("d/b_content_list.json",), ("d/a_content_list.json",), ("d/a_content_list_v2.json",), ("e/x_content_list_v2.json",), ("f/y.json",)], "path string")
+    assert sorted(map(tuple, files.block_files(listing).collect())) == [("d", "d/a_content_list.json"), ("e", "e/x_content_list_v2.json")]
+    times = spark.createDataFrame([("k", "p1", 1), ("k", "p2", 3), ("m", "p3", 2)], "k string, path string, modificationTime long")
+    assert sorted(map(tuple, files.latest_files(times, "k").collect())) == [("k", "p2"), ("m", "p3")]
+    (tmp_path / "ICLR2025_x.csv").write_text("title\nA\n")
+    (tmp_path / "other.csv").write_text("title\nB\n")
+    assert [tuple(r) for r in files.tables_named(spark, str(tmp_path), "iclr2025").collect()] == [("A", "ICLR2025_x.csv")]
+    with pytest.raises(FileNotFoundError):
+        files.tables_named(spark, str(tmp_path), "cvpr2020")
+
+
 def test_new_files_once(spark, tmp_path):
     schema = "id int"
     spark.range(3).selectExpr("cast(id as int) id").write.parquet(str(tmp_path / "in"))

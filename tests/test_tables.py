@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from litlake.operators import facets, joblog, tables
+from litlake.operators import facets, joblog, reports, tables
 from litlake.sources import sinks
 
 
@@ -53,6 +53,14 @@ def test_assets(spark):
     ]
 
 
+def test_first_artefact_and_tags(spark):
+    items = spark.createDataFrame([("s", "l"), ("q", "l"), (None, None)], "short string, long string")
+    files = spark.createDataFrame([("l",), ("s",), ("s",)], "path string")
+    assert rows(tables.first_artefact(items, ["short", "long"], files)) == [("q", "l", "l"), ("s", "l", "s"), (None, None, None)]
+    df = spark.createDataFrame([(["emotion", "llm"], ["LLM", "gaze", None]), (None, ["a"])], "a array<string>, b array<string>")
+    assert [r[0] for r in df.select(reports.merge_tags(F.col("a"), F.col("b"))).collect()] == [["Emotion", "LLM", "Gaze"], ["A"]]
+
+
 def test_ids_and_names(spark):
     df = spark.createDataFrame([("g", 1, "5"), ("g", 2, None), ("g", 3, "x"), ("g", 4, "5"), ("g", 5, "2")], "g string, pos int, id string")
     assert [r["id"] for r in tables.assign_ids(df, "id", "pos", "g").orderBy("pos").collect()] == [5, 1, 2, 3, 4]

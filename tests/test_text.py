@@ -57,6 +57,11 @@ def test_arrays(one):
     assert one(t.markdown_headings, "# a\nx\n#### b\n##### c") == ["# a", "#### b"]
 
 
+def test_join_url(one):
+    base = F.lit("http://a/b/")
+    assert one(lambda c: t.join_url(base, c), "/c") == "http://a/b/c" and one(lambda c: t.join_url(base, c), "https://q") == "https://q"
+
+
 def test_structs(one):
     assert tuple(one(t.source_of_stem, "2026_ICLR_A_ B_")) == ("2026", "ICLR", "A:  B:")
     assert tuple(one(t.source_of_stem, "notes")) == ("", "", "notes")
