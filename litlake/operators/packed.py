@@ -20,6 +20,9 @@ values in one field give a row each.  Unbalanced quotes are ordinary characters.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +36,7 @@ _SPLIT = rf"{_DELIM}|(?<=\s)[/·•](?=\s)"
 _BEFORE = rf"(?<=^|{_LIST}|{_DELIM}|\s[/·•])( *+)"
 _AFTER = rf"(?= *+(?:$|{_DELIM}|[/·•]\s))"
 _LABEL = r"^\s*(?:key\s*-?\s*words?(?:\s+and\s+phrases)?|index\s+terms|关键词|关键字|キーワード)\s*(?:[:—–]|-(?=\s))\s*"
-_MARK = r"(?m)^[ \t]*(?:[-–•*‣▪◦·]|\(?\d{1,3}[.)])[ \t]+"
+_MARK = rf"(?m)^[ \t]*(?:[-–•*‣▪◦·]|\(?\d{{1,3}}[.)])[ \t]+"
 _HEX = r"\\u[0-9a-f]{4}"
 
 
@@ -56,27 +59,34 @@ def _prepare(column: Column) -> Column:
     return nfkc_lower(_decode_hex(column))
 
 
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with ``value`` evaluated once, however often ``f`` uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _replace(field: Column, steps: tuple[tuple[str, str], ...], *signs: str) -> Column:
+    """The replacements one after the other; skipped for fields that hold none of the signs they need."""
+
+    def run(x: Column) -> Column:
+        out = x
+        for pattern, new in steps:
+            out = F.regexp_replace(out, pattern, new)
+        return F.when(reduce(lambda p, q: p | q, [x.contains(s) for s in signs]), out).otherwise(x)
+
+    return _bound(field, run)
+
+
 def _take_apart(field: Column) -> Column:
-    steps = (
-        (r"\r\n?", "\n"),
-        (r"(?U:[^\S\n\t])", " "),
-        (_LABEL, ""),
-        (r"^\s+|[\s.。]+$", ""),
-        (r"(?s)^\[(.*)\]$", f"{_LIST}$1"),
-        (_MARK, ""),
-        (r"\\\\", _BS),
-        (r'\\"', _DQ),
-        (r"\\'", _SQ),
-        (r"\\(?:[nrt]|xa0)", " "),
-        # A doubled quote beside a character of the value is that value's own quote.
-        (r'""(?=[^\s,;|、"\]])|(?<=[^\s,;|、"\[])""', _DQ),
-        (rf'{_BEFORE}["“]([^"“”]*+)["”]{_AFTER}', f"$1{_EDGE}$2{_EDGE}"),
-    )
-    for pattern, new in steps:
-        field = F.regexp_replace(field, pattern, new)
-    field = F.when(
-        field.startswith(_LIST), F.regexp_replace(field, rf"{_BEFORE}'([^']*+)'{_AFTER}", f"$1{_EDGE}$2{_EDGE}")
-    ).otherwise(field)
+    field = F.regexp_replace(F.replace(field, F.lit("\r"), F.lit("\n")), r"(?U:[^\S\n\t])", " ")
+    field = F.regexp_replace(F.regexp_replace(field, _LABEL, ""), r"^\s+|[\s.。]+$", "")
+    field = _replace(field, ((r"(?s)^\[(.*)\]$", f"{_LIST}$1"),), "[")
+    field = F.regexp_replace(field, _MARK, "")
+    escapes = ((r"\\\\", _BS), (r'\\"', _DQ), (r"\\'", _SQ), (r"\\(?:[nrt]|xa0)", " "))
+    field = _replace(field, escapes, "\\")
+    # A doubled quote beside a character of the value is that value's own quote.
+    field = _replace(field, ((r'""(?=[^\s,;|、"\]])|(?<=[^\s,;|、"\[])""', _DQ),), '""')
+    field = _replace(field, ((rf'{_BEFORE}["“]([^"“”]*+)["”]{_AFTER}', f"$1{_EDGE}$2{_EDGE}"),), '"', "“")
+    field = _replace(field, ((rf"{_BEFORE}'([^']*+)'{_AFTER}", f"$1{_EDGE}$2{_EDGE}"),), _LIST)
     values = F.flatten(
         F.transform(
             F.split(field, _EDGE), lambda p, i: F.when(i % 2 == 1, F.array(p)).otherwise(F.split(p, _SPLIT))

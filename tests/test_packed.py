@@ -21,6 +21,7 @@ CASES = [
     ('"""raw"" affect", x', ['"raw" affect', "x"]),
     ('["so-called \\"raw\\" affect", "\\u60c5\\u611f", "a\\u00a0b"]', ['so-called "raw" affect', "情感", "a b"]),
     ("['a, b', \"speaker's stance\", 'c']", ["a, b", "speaker's stance", "c"]),
+    ('["it\'s a", \'b, c\', \'d\']', ["it's a", "b, c", "d"]),
     ("[a; b; speaker's stance]", ["a", "b", "speaker's stance"]),
     ("Keywords: a, b.", ["a", "b"]),
     ("关键词：- a\n- b", ["a", "b"]),
