@@ -36,7 +36,7 @@ _SPLIT = rf"{_DELIM}|(?<=\s)[/·•](?=\s)"
 _BEFORE = rf"(?<=^|{_LIST}|{_DELIM}|\s[/·•])( *+)"
 _AFTER = rf"(?= *+(?:$|{_DELIM}|[/·•]\s))"
 _LABEL = r"^\s*(?:key\s*-?\s*words?(?:\s+and\s+phrases)?|index\s+terms|关键词|关键字|キーワード)\s*(?:[:—–]|-(?=\s))\s*"
-_MARK = rf"(?m)^[ \t]*(?:[-–•*‣▪◦·]|\(?\d{{1,3}}[.)])[ \t]+"
+_MARK = rf"(?m)^({_LIST}?)[ \t]*(?:[-–•*‣▪◦·]|\(?\d{{1,3}}[.)])[ \t]+"
 _HEX = r"\\u[0-9a-f]{4}"
 
 
@@ -80,7 +80,7 @@ def _take_apart(field: Column) -> Column:
     field = F.regexp_replace(F.replace(field, F.lit("\r"), F.lit("\n")), r"(?U:[^\S\n\t])", " ")
     field = F.regexp_replace(F.regexp_replace(field, _LABEL, ""), r"^\s+|[\s.。]+$", "")
     field = _replace(field, ((r"(?s)^\[(.*)\]$", f"{_LIST}$1"),), "[")
-    field = F.regexp_replace(field, _MARK, "")
+    field = F.regexp_replace(field, _MARK, "$1")
     escapes = ((r"\\\\", _BS), (r'\\"', _DQ), (r"\\'", _SQ), (r"\\(?:[nrt]|xa0)", " "))
     field = _replace(field, escapes, "\\")
     # A doubled quote beside a character of the value is that value's own quote.

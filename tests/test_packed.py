@@ -25,6 +25,8 @@ CASES = [
     ("[a; b; speaker's stance]", ["a", "b", "speaker's stance"]),
     ("Keywords: a, b.", ["a", "b"]),
     ("关键词：- a\n- b", ["a", "b"]),
+    ("[• a]", ["a"]),
+    ("[- a\n- b]", ["a", "b"]),
     ("Index Terms—a; b", ["a", "b"]),
     ("Key words - • a\n• \"b, c\"", ["a", "b, c"]),
     ("1. a\n2. b", ["a", "b"]),
