@@ -66,7 +66,18 @@ _LEXER = (
     ("BULLET", r"^[ \t]*(?:[-*•‣▪–]|#{1,6})(?=[ \t])"),
     ("MARK", r"^[ \t]*(?:\(?\d{1,3}[.)]|[（(][一二三四五六七八九十]+[)）])(?=[ \t])"),
     ("NL", r"\n"),
+    ("WS", r"[^\S\n]+"),
     ("LOW", r"[a-z]+,?(?: [a-z]+,?)*(?![\w.'’\-@/:&]| \d)"),
+    # The usual words, before the many patterns of the unusual ones.
+    ("LOW", rf"(?!(?:{_any([w for w in (*NEVER, *ENDING, *BEFORE_DIGIT) if w.isalpha() and w.isascii() and w.islower() and len(w) > 4])})\.)[a-z]{{5,}}(?=[.!?…]?(?:\s|\Z))(?!\s\d)"),
+    ("UP", r"[A-Z][a-z]*(?![\w.:/@'’\-–&]|\s+\d)"),
+    ("CJK", rf"[{_HAN}]+"),
+    ("THAI_END", rf"[{_THAI}ๆ-๏]+(?=\s+[{_THAI}])"),
+    ("CJK", rf"[{_THAI}ๆ-๏]+"),
+    ("NUM", r"[.,]?\d(?:[\d.,:/–\-]*\d)?(?:[%‰°]|\.?[ºª]|[a-z]+)*"),
+    ("ELL", r"\.(?:[ \xa0]?\.)+|…+"),
+    ("CTERM", r"[。｡！？．।॥؟۔]+"),
+    ("TERM", r"[.!?‼⁇⁈⁉]+"),
     ("LOW", rf"\b(?:{_any(ORDINAL_BEFORE)})\s+\d{{1,2}}\.(?=\s)"),
     ("UP", rf"\b(?:{_any([w.capitalize() for w in ORDINAL_BEFORE])})\s+\d{{1,2}}\.(?=\s)"),
     ("ABE_U", rf"(?:{_any([w for w in ENDING if w[0].isupper()])})\.(?![\w])"),
@@ -81,14 +92,7 @@ _LEXER = (
     ("LOW", r"https?://[^\s<>\"”“«»　-鿿＀-￯]*[\w/]"),
     ("NAME", r"[a-z][a-z0-9\-]*(?=\s\d+\.\d)"),
     ("UP", rf"[{_UP}][\w'’\-–&]*(?:[./:@][a-z0-9][\w\-]*)*"),
-    ("THAI_END", rf"[{_THAI}ๆ-๏]+(?=\s+[{_THAI}])"),
-    ("CJK", rf"[{_THAI}ๆ-๏]+"),
-    ("CJK", rf"[{_HAN}]+"),
-    ("NUM", r"[.,]?\d(?:[\d.,:/–\-]*\d)?(?:[%‰°]|\.?[ºª]|[a-z]+)*"),
     ("LOW", _WORD),
-    ("ELL", r"\.(?:[ \xa0]?\.)+|…+"),
-    ("CTERM", r"[。｡！？．।॥؟۔]+"),
-    ("TERM", r"[.!?‼⁇⁈⁉]+"),
     ("OPB_U", rf"[(\[{{](?=\s*[\"“‘«]?[{_UP}])|[（【〔［｛]"),
     ("OPB", r"[(\[{]"),
     ("CLB", r"[)\]}）】〕］｝]"),
@@ -142,9 +146,9 @@ def _step(state: State, cls: str) -> tuple[State, bool]:
     mode, started, stack, waiting = state
     if cls in ("BREAK", "EOF"):
         return START, started
-    if mode == "I":
+    if mode == "I" and cls != "WS":
         return (("L", False, (), ""), started) if cls == "NL" else (("I", True, (), ""), False)
-    if cls == "NL":
+    if cls in ("NL", "WS"):
         return state, False
     if cls in ("BULLET", "MARK"):
         if not started and mode in "PL":
