@@ -184,11 +184,12 @@ def report_metadata(papers: DataFrame) -> DataFrame:
     source = t.source_of_stem(F.col("stem"))
     text = F.coalesce(F.col("full_text"), F.lit(""))
     full = t.first_filled(F.col("title"), t.markdown_title(text), source["title"])
-    base = papers.withColumn("__full", full)
     row_text = t.first_filled(F.col("title"), F.col("keywords"), F.col("abstract"))
     kind = modality(F.lit(None).cast("string"), F.concat_ws(" ", row_text, F.substring(text, 1, 4000)))
+    # A generator of one row keeps title and modality from being evaluated once for each of their uses.
+    known = F.explode(F.array(F.struct(full.alias("full"), kind.alias("modality")))).alias("__known")
+    base = papers.select("*", known).withColumns({"__full": F.col("__known.full"), "modality": F.col("__known.modality")})
     tag_text = F.concat_ws(" ", "__full", *[F.coalesce(F.col(c), F.lit("")) for c in ("title", "keywords", "abstract", "matched_keywords")], F.substring(text, 1, 10_000))
-    base = base.withColumn("modality", kind)
     return base.select(
         report_id(F.col("paper_id"), F.col("__full"), F.col("stem")).alias("id"),
         t.short_title(F.col("__full"), F.col("stem")).alias("title"),
