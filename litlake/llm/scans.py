@@ -9,9 +9,11 @@ ranked by edits, by their use in the same paper (the context) and in the
 collection.  Then page furniture (running lines, page numbers) is removed, words
 broken at line ends are joined, and lines are put together to paragraphs.
 
-Counts are taken over all words of the collection in a first pass.  The table
-that the second pass gets holds the words that make up at least one in
-``VOCABULARY`` of all words: at most ``VOCABULARY`` of them, whatever the size.
+Counts are taken over all words of the collection in a first pass.  The words that
+make up at least one in ``VOCABULARY`` of all words, at most ``VOCABULARY`` of them
+whatever the size, are broadcast.  A second pass lists the other words that each
+item asks for; their counts, and candidates too rare for the broadcast table, come
+from the complete table of counts by joins, so every decision is taken on true counts.
 """
 
 from __future__ import annotations
@@ -81,8 +83,11 @@ def _compounds(text: str) -> list[str]:
 class Speller:
     """Vocabulary trie and automaton."""
 
-    def __init__(self, counts: dict[str, int], least: int = LEAST) -> None:
-        self.counts, self.least = counts, least
+    def __init__(self, counts: dict[str, int]) -> None:
+        self.counts = counts
+        #: Of the item at hand: counts of words that ``counts`` leaves out, and candidates among these.
+        self.rare: dict[str, int] = {}
+        self.near: dict[str, list[tuple[int, str, int]]] = {}
         #: From this count on a word is no mere fragment.
         self.common = max(ANCHOR, sum(counts.values()) // 100_000)
         self.trie: dict = {}
@@ -99,6 +104,21 @@ class Speller:
             self.edits[read[0]].append((read, printed))
         self.known = frozenset(w for w in counts if self.original(w) is None)
 
+    def take(self, facts: list[str] | None) -> None:
+        """Takes what the complete table of counts says of an item's words; see ``_facts``."""
+        self.rare, self.near = {}, {}
+        for fact in facts if facts is not None else ():
+            word, n, near = fact.split("\t")
+            self.rare[word] = int(n)
+            for x in near.split():
+                edits, place, count, other = x.split(",")
+                self.near.setdefault(word, []).append((int(edits), other, int(place)))
+                self.rare[other] = int(count)
+
+    def all_candidates(self, word: str) -> list[tuple[int, str, int]]:
+        """The candidates, those too rare for the broadcast table included."""
+        return self.candidates(word) + self.near[word] if word in self.near else self.candidates(word)
+
     def candidates(self, word: str) -> list[tuple[int, str, int]]:
         """(edits, word of the vocabulary, place of the first edit) of all words that ``word`` may be a misreading of."""
         if word in self.memo:
@@ -137,22 +157,48 @@ class Speller:
         if len(word) < 2:
             return None
         short = len(word) < 4 and not any(c in "0158@|" for c in word)
-        least = max(ANCHOR, (SHORT_RATIO if short else RATIO) * self.counts.get(word, self.least - 1))
-        fit = [(e, w) for e, w, _ in self.candidates(word) if self.counts.get(w, 0) >= least and not (short and e > 1)]
+        least = max(ANCHOR, (SHORT_RATIO if short else RATIO) * self.count(word))
+        fit = [(e, w) for e, w, _ in self.all_candidates(word) if self.count(w) >= least and not (short and e > 1)]
         if not fit:
             answer = None
         else:
             near = context or {}
-            answer = min(fit, key=lambda x: (x[0], -min(near.get(x[1], 0), 3), -self.counts[x[1]], x[1]))[1]
+            answer = min(fit, key=lambda x: (x[0], -min(near.get(x[1], 0), 3), -self.count(x[1]), x[1]))[1]
         if context is None:
             self.verdicts[word] = answer
         return answer
 
     def place(self, word: str, printed: str) -> int:
-        return next((p for _, w, p in self.candidates(word) if w == printed), 0)
+        return next((p for _, w, p in self.all_candidates(word) if w == printed), 0)
 
     def count(self, word: str) -> int:
-        return self.counts.get(word, 0)
+        """Occurrences in the collection."""
+        n = self.counts.get(word)
+        return self.rare.get(word, 0) if n is None else n
+
+    def usual(self, word: str) -> bool:
+        """Whether the word occurs LEAST times and is no misreading."""
+        return word in self.known or (self.count(word) >= LEAST and self.original(word) is None)
+
+
+def variants(word: str) -> dict[str, tuple[int, int]]:
+    """{what may have been printed: (edits, place of the first)} for all readings of ``word`` that ``Speller.candidates`` finds."""
+    found: dict[str, tuple[int, int]] = {}
+    front = {(word, 0, -1)}
+    for edits in range(1, EDITS + 1):
+        following = set()
+        for text, done, first in front:
+            for read, printed in CONFUSIONS:
+                place = text.find(read, done)
+                while place >= 0:
+                    changed = text[:place] + printed + text[place + len(read) :]
+                    start = place if first < 0 else first
+                    following.add((changed, place + len(printed), start))
+                    if changed not in found or (edits, start) < found[changed]:
+                        found[changed] = (edits, start)
+                    place = text.find(read, place + 1)
+        front = following
+    return found
 
 
 _SKELETON = (("rn", "m"), ("nn", "m"), ("ri", "n"), ("ii", "u"), ("cl", "d"), ("vv", "w"), ("ti", "h"), ("li", "h"))
@@ -311,11 +357,11 @@ def _bad_words(line: str, speller: Speller, context: Counter | None) -> list[tup
 
 def _readable(line: str, speller: Speller) -> tuple[int, int]:
     words = [w for w in tokens(line) if not w.isdigit()]
-    return sum(w in speller.known or speller.original(w) is not None for w in words), len(words)
+    return sum(speller.usual(w) or speller.original(w) is not None for w in words), len(words)
 
 
-def scan_lines(pages: list[list[str]], running: Furniture | None, speller: Speller, caption: bool = False) -> tuple[list[tuple[int, int, str]], list[str]]:
-    """(findings, paragraphs) of one item: (page from 0, line from 1, noise) and the repaired text."""
+def item_furniture(pages: list[list[str]], running: Furniture | None, caption: bool = False) -> dict[tuple[int, int], str]:
+    """{(page, line): 'header' or 'page_number'}, both from 0, of a paper's pages or of a caption."""
     furniture = find_furniture(pages, running) if running and not caption else {}
     if caption:
         for i, text in enumerate(pages[0]):
@@ -323,26 +369,63 @@ def scan_lines(pages: list[list[str]], running: Furniture | None, speller: Spell
                 furniture[0, i] = "header"
             elif i and i == len(pages[0]) - 1 and page_number(text) is not None:
                 furniture[0, i] = "page_number"
-    findings = {(p, i + 1, kind) for (p, i), kind in furniture.items()}
+    return furniture
+
+
+def _body(pages: list[list[str]], furniture: dict[tuple[int, int], str]) -> tuple[list[tuple[int, int, str]], list[int], dict[int, int]]:
+    """Lines but for furniture, the places of those with text, and the next such place of each."""
     body = [(p, i, t) for p, lines in enumerate(pages) for i, t in enumerate(lines) if (p, i) not in furniture]
     text = [k for k, (_, _, t) in enumerate(body) if t.strip()]
-    after = {k: text[n + 1] for n, k in enumerate(text[:-1])}
-    repaired = [t for _, _, t in body]
-    joined: dict[int, tuple[str, str]] = {}  # line -> (what replaces its broken word, rest of the next line)
-    skip_first: dict[int, int] = {}
-    skip_last: dict[int, int] = {}
+    return body, text, {k: text[n + 1] for n, k in enumerate(text[:-1])}
+
+
+def _breaks(body: list[tuple[int, int, str]], text: list[int], after: dict[int, int]) -> Iterator[tuple[int, re.Match, re.Match]]:
+    """(line, its last word, first word of the next line) where a line may end inside a word."""
     for k in text:
-        p, i, line = body[k]
+        line = body[k][2]
         bare = line.rstrip()
         if bare[-1] not in _HYPHENS or k not in after:
             continue
         broken = _BROKEN.search(line, max(0, len(bare) - 60))
         if not broken:
             continue
+        m = re.match(r"\s*([^\W\d_][\w@|]*|[0158@|][^\W\d_]+)", body[after[k]][2])
+        if m and (m[1][0].islower() or not m[1][0].isalpha() or broken[1].isupper()):
+            yield k, broken, m
+
+
+def asked_words(pages: list[list[str]], furniture: dict[tuple[int, int], str], counts: dict[str, int]) -> set[str]:
+    """The words whose counts ``scan_lines`` asks for and that ``counts`` leaves out."""
+    body, text, after = _body(pages, furniture)
+    asked: set[str] = set()
+    for k in text:
+        asked.update(tokens(body[k][2]))
+    for k, broken, m in _breaks(body, text, after):
+        head, tail = broken[1].lower(), m[1].lower()
+        asked.update((head, tail, head + tail, f"{head}-{tail}"))
+        # What is left of the lines without the broken word, from a word broken before it on.
+        for line, start, end in ((body[k][2], 0, broken.start(1)), (body[after[k]][2], m.end(1), None)):
+            asked.update(tokens(line[start:end]))
         following = body[after[k]][2]
-        m = re.match(r"\s*([^\W\d_][\w@|]*|[0158@|][^\W\d_]+)", following)
-        if not m or not m[1][0].islower() and m[1][0].isalpha() and not broken[1].isupper():
-            continue
+        if last := _BROKEN.search(following, max(0, len(following.rstrip()) - 60)):
+            asked.update(tokens(following[m.end(1) : last.start(1)]))
+    return {w for w in asked if w not in counts and not w.isdigit()}
+
+
+def scan_lines(
+    pages: list[list[str]], running: Furniture | None, speller: Speller, caption: bool = False, furniture: dict[tuple[int, int], str] | None = None
+) -> tuple[list[tuple[int, int, str]], list[str]]:
+    """(findings, paragraphs) of one item: (page from 0, line from 1, noise) and the repaired text."""
+    if furniture is None:
+        furniture = item_furniture(pages, running, caption)
+    findings = {(p, i + 1, kind) for (p, i), kind in furniture.items()}
+    body, text, after = _body(pages, furniture)
+    repaired = [t for _, _, t in body]
+    joined: dict[int, tuple[str, str]] = {}  # line -> (what replaces its broken word, rest of the next line)
+    skip_first: dict[int, int] = {}
+    skip_last: dict[int, int] = {}
+    for k, broken, m in _breaks(body, text, after):
+        p, i, line = body[k]
         head, tail = broken[1].lower(), m[1].lower()
         whole, compound = head + tail, f"{head}-{tail}"
         together, apart = speller.count(whole), speller.count(compound)
@@ -451,32 +534,75 @@ def _speller(shared) -> Speller:
     """The worker's speller of a broadcast table, built once."""
     if shared.value["id"] not in _HELD:
         _HELD.clear()
-        _HELD[shared.value["id"]] = Speller(shared.value["counts"], shared.value["least"])
+        _HELD[shared.value["id"]] = Speller(shared.value["counts"])
     return _HELD[shared.value["id"]]
 
 
-def _scan_pages(shared):
+def _item(r) -> tuple[list[list[str]], Furniture, bool]:
+    """(pages as lines, running lines, whether it is a caption) of a row of papers or captions."""
+    running = Furniture(r.stem, r.title, r.venue, r.year)
+    if hasattr(r, "caption"):
+        return [r.caption.split("\n")], running, True
+    return [(t or "").split("\n") for t in r.pages], running, False
+
+
+def _ask(shared):
+    """(key, furniture, words) of each item: its furniture as 'page,line,kind' and the words that the broadcast table leaves out."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for r in batch.itertuples(index=False):
-                pages = [(t or "").split("\n") for t in r.pages]
-                findings, paragraphs = scan_lines(pages, Furniture(r.stem, r.title, r.venue, r.year), _speller(shared))
-                rows.append((r.stem, [(p + 1, n, k) for p, n, k in findings], paragraphs))
-            yield pd.DataFrame(rows, columns=["stem", "findings", "paragraphs"])
+                pages, running, caption = _item(r)
+                furniture = item_furniture(pages, running, caption)
+                rows.append((r.key, [f"{p},{i},{k}" for (p, i), k in furniture.items()], sorted(asked_words(pages, furniture, shared.value["counts"]))))
+            yield pd.DataFrame(rows, columns=["key", "furniture", "words"])
 
     return run
 
 
-def _scan_captions(shared):
+def _variants(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for start in range(0, len(batch), 500):
+            rows = [(w, v, e, p) for w in batch["word"].iloc[start : start + 500] for v, (e, p) in variants(w).items() if v.isalpha()]
+            yield pd.DataFrame(rows, columns=["word", "other", "edits", "place"])
+
+
+def _facts(asked: DataFrame, counts: DataFrame, least: int) -> DataFrame:
+    """(word, fact) of the words in ``asked`` that the collection holds or that may be misreadings of words below ``least``.
+
+    A fact is 'word, tab, n, tab, candidates', these as 'edits,place,n,word' with spaces between.
+    """
+    words = asked.select("word").distinct().join(counts.where(F.col("n") < least), "word", "left").fillna(0, ["n"])
+    if least <= ANCHOR:  # the broadcast table has all candidates
+        return words.where("n > 0").select("word", F.concat_ws("\t", "word", F.col("n").cast("string"), F.lit("")).alias("fact"))
+    others = counts.where((F.col("n") >= ANCHOR) & (F.col("n") < least) & F.col("word").rlike(r"^\p{L}+$")).select(F.col("word").alias("other"), F.col("n").alias("m"))
+    # An edit shortens a word by one letter at most, so longer words than this (some have thousands of letters) have no candidate here.
+    longest = (others.agg(F.max(F.length("other"))).first()[0] or 0) + EDITS
+    tried = words.where((F.col("n") * RATIO < least) & (F.length("word") <= longest)).select("word").mapInPandas(_variants, "word string, other string, edits int, place int")
+    near = tried.join(others, "other").groupBy("word").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(",", "edits", "place", "m", "other"))), " ").alias("near"))
+    return words.join(near, "word", "left").where("n > 0 or near is not null").select(
+        "word", F.concat_ws("\t", "word", F.col("n").cast("string"), F.coalesce("near", F.lit(""))).alias("fact")
+    )
+
+
+def _scan(shared):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        speller = _speller(shared)
         for batch in batches:
-            rows = []
-            for r in batch.itertuples(index=False):
-                running = Furniture(r.stem, r.title, r.venue, r.year)
-                findings, paragraphs = scan_lines([r.caption.split("\n")], running, _speller(shared), caption=True)
-                rows.append((r.stem, r.item, [(n, k) for _, n, k in findings], " ".join(paragraphs)))
-            yield pd.DataFrame(rows, columns=["stem", "item", "findings", "caption"])
+            names = ["stem", "item", "findings", "caption"] if hasattr(batch, "caption") else ["stem", "findings", "paragraphs"]
+            for start in range(0, len(batch), 200):
+                rows = []
+                for r in batch.iloc[start : start + 200].itertuples(index=False):
+                    pages, running, caption = _item(r)
+                    furniture = {(int(p), int(i)): k for p, i, k in (x.split(",") for x in r.furniture)}
+                    speller.take(r.facts)
+                    findings, paragraphs = scan_lines(pages, running, speller, caption, furniture)
+                    if caption:
+                        rows.append((r.stem, r.item, [(n, k) for _, n, k in findings], " ".join(paragraphs)))
+                    else:
+                        rows.append((r.stem, [(p + 1, n, k) for p, n, k in findings], paragraphs))
+                yield pd.DataFrame(rows, columns=names)
 
     return run
 
@@ -492,12 +618,22 @@ def scan_papers(papers: DataFrame, captions: DataFrame) -> tuple[DataFrame, Data
     """
     spark = papers.sparkSession
     texts = papers.select(F.explode("pages").alias("text")).unionByName(captions.select(F.col("caption").alias("text")))
-    counts, least = vocabulary(cut_lineage(word_counts(texts, F.col("text"))))
-    shared = spark.sparkContext.broadcast({"id": uuid.uuid4().hex, "counts": counts, "least": least})
-    pages = papers.where(F.size("pages") > 0).mapInPandas(
-        _scan_pages(shared), "stem string, findings array<struct<page int, line int, noise string>>, paragraphs array<string>"
-    )
+    counts = cut_lineage(word_counts(texts, F.col("text")))
+    held, least = vocabulary(counts)
+    shared = spark.sparkContext.broadcast({"id": uuid.uuid4().hex, "counts": held})
     about = papers.where("stem is not null").groupBy("stem").agg(F.first(F.struct("title", "venue", "year")).alias("m"))
+    pages = papers.where(F.size("pages") > 0).select("stem", "title", "venue", "year", "pages")
     joined = captions.where("caption <> ''").join(about, "stem", "left").select("stem", "item", "caption", "m.title", "m.venue", "m.year")
-    repaired = joined.mapInPandas(_scan_captions(shared), "stem string, item int, findings array<struct<line int, noise string>>, caption string")
-    return pages, repaired
+    # Two 64-bit hashes of the whole row.
+    items = [x.withColumn("key", F.concat_ws(" ", F.xxhash64(*x.columns), F.xxhash64(F.lit(1), *x.columns))) for x in (pages, joined)]
+    looked = [cut_lineage(x.mapInPandas(_ask(shared), "key string, furniture array<string>, words array<string>").dropDuplicates(["key"])) for x in items]
+    asked = [x.select("key", F.explode("words").alias("word")) for x in looked]
+    facts = cut_lineage(_facts(asked[0].unionByName(asked[1]), counts, least))
+    full = []
+    for x, k, a in zip(items, looked, asked, strict=True):
+        told = a.join(facts, "word").groupBy("key").agg(F.collect_set("fact").alias("facts"))
+        full.append(x.join(k.select("key", "furniture").join(told, "key", "left").hint("shuffle_hash"), "key"))
+    return (
+        full[0].mapInPandas(_scan(shared), "stem string, findings array<struct<page int, line int, noise string>>, paragraphs array<string>"),
+        full[1].mapInPandas(_scan(shared), "stem string, item int, findings array<struct<line int, noise string>>, caption string"),
+    )

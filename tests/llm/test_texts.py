@@ -284,3 +284,16 @@ def test_scan_operator(spark):
     }
     empty = scans.scan_papers(df.limit(0), captions.limit(0))
     assert empty[0].count() == 0 and empty[1].count() == 0
+
+
+@pytest.mark.parametrize("bound", [scans.VOCABULARY, 10])
+def test_counts_below_the_broadcast_bound(spark, monkeypatch, bound):
+    monkeypatch.setattr(scans, "VOCABULARY", bound)
+    common = "the of and in results"
+    long = "nl" * 6000  # its readings alone would fill the memory
+    pages = [long + "\n" + "\n".join([common] * 60), "\n".join(["models clear"] * 20), "the rnodels of\nthe c1ear re-\nsults and mod-\nels in", "audio-visual of\naudio-visual in\nthe audio-\nvisual of"]
+    papers = spark.createDataFrame([("s", None, None, None, pages)], "stem string, title string, venue string, year string, pages array<string>")
+    captions = spark.createDataFrame([("s", 1, "the rnodels of the results")], "stem string, item int, caption string")
+    found, fixed = scans.scan_papers(papers, captions)
+    assert [tuple(f) for f in found.first()["findings"]] == [(3, 1, "ocr"), (3, 2, "hyphen"), (3, 2, "ocr"), (3, 3, "hyphen")]
+    assert fixed.first()["caption"] == "the models of the results"
