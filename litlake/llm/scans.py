@@ -4,7 +4,7 @@ Method: words that the collection hardly knows are looked up in a trie of its
 vocabulary by a Levenshtein automaton whose edits are the confusions of optical
 recognition: substitutions, and the merges and splits that scanning makes (rn and
 m, cl and d, ri and n).  Trie and automaton are walked together, so all
-candidates within two edits are found, and no others are looked at.  Candidates are
+candidates within two such edits are found (other edits are left out, as README says), and no others are looked at.  Candidates are
 ranked by edits, by their use in the same paper (the context) and in the
 collection.  Then page furniture (running lines, page numbers) is removed, words
 broken at line ends are joined, and lines are put together to paragraphs.
@@ -42,7 +42,7 @@ CONFUSIONS = (
     ("0", "o"), ("1", "l"), ("|", "l"), ("1", "i"), ("|", "i"), ("5", "s"), ("@", "a"), ("8", "b"), ("6", "b"), ("9", "g"),
     ("c", "e"), ("e", "c"), ("l", "i"), ("i", "l"), ("b", "h"), ("h", "b"), ("q", "g"), ("g", "q"), ("y", "v"), ("v", "y"),
     ("rn", "m"), ("m", "rn"), ("ri", "n"), ("n", "ri"), ("ii", "u"), ("u", "ii"), ("cl", "d"), ("d", "cl"), ("vv", "w"),
-    ("w", "vv"), ("b", "ti"), ("ti", "b"), ("o", "0"), ("l", "1"), ("s", "5"), ("li", "h"), ("h", "li"), ("nn", "m"),
+    ("w", "vv"), ("b", "ti"), ("ti", "b"), ("o", "0"), ("l", "1"), ("s", "5"), ("li", "h"), ("h", "li"), ("nn", "m"), ("f", "t"), ("t", "f"),
 )
 
 #: Letters of all scripts with spaces between words, digits, and marks that scanning puts for letters.

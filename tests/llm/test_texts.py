@@ -297,3 +297,8 @@ def test_counts_below_the_broadcast_bound(spark, monkeypatch, bound):
     found, fixed = scans.scan_papers(papers, captions)
     assert [tuple(f) for f in found.first()["findings"]] == [(3, 1, "ocr"), (3, 2, "hyphen"), (3, 2, "ocr"), (3, 3, "hyphen")]
     assert fixed.first()["caption"] == "the models of the results"
+
+
+def test_f_and_t_are_taken_for_each_other():
+    s = scans.Speller({"figure": 400, "distant": 400})
+    assert [s.original(w) for w in ("tigure", "disfant", "dis7ant")] == ["figure", "distant", None]
