@@ -467,7 +467,7 @@ def scan_lines(
             if bad and readable(k):
                 findings.add((p, i + 1, "ocr"))
                 if context is None:
-                    context = Counter(w for _, _, t in body[:400] for w in tokens(t))
+                    context = Counter(w for _, _, t in body for w in tokens(t))
                 for word, _ in bad:
                     printed = speller.original(word, context)
                     repaired[k] = re.sub(rf"(?i)(?<![\w@|]){re.escape(word)}(?![\w@|])", lambda m, o=printed: o.capitalize() if m[0][0].isupper() else o, repaired[k])

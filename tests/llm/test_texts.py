@@ -302,3 +302,11 @@ def test_counts_below_the_broadcast_bound(spark, monkeypatch, bound):
 def test_f_and_t_are_taken_for_each_other():
     s = scans.Speller({"figure": 400, "distant": 400})
     assert [s.original(w) for w in ("tigure", "disfant", "dis7ant")] == ["figure", "distant", None]
+
+
+def test_context_is_the_whole_paper():
+    s = scans.Speller({"cat": 100_000, "eat": 90_000, "the": 90_000})
+    lines = ["the"] * 450 + ["the eat", "the 6at", "the eat"]
+    s.edits["6"] += [("6", "c"), ("6", "e")]
+    assert s.original("6at") == "cat"
+    assert scans.scan_lines([lines], None, s)[1][0].endswith("the eat the eat the eat")
