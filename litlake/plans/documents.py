@@ -369,6 +369,12 @@ def term_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topics.term_statistics(docs, "doc_id", F.col("text"))
 
 
+@query()
+def term_statistics_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms of all documents with text, of whatever language, but for English stop words."""
+    return topics.term_statistics(_documents(spark, sf_dir), "doc_id", F.col("text"), stop_words=topics.STOP_WORDS)
+
+
 @query()
 def embedding_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topics.embedding_topics(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 8)
