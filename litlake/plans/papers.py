@@ -364,6 +364,13 @@ def simple_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.posexplode(t.simple_sentences(F.col("text"))).alias("n", "sentence"))
 
 
+@query()
+def simple_sentences_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of all texts, whatever their language or its tag."""
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    return docs.select("doc_id", F.posexplode(t.simple_sentences(F.col("text"))).alias("n", "sentence"))
+
+
 @query("SELECT coalesce(lower(lang), 'none') AS lang, count(*) AS n, count(*) FILTER (regexp_matches(text, '[\\x{3400}-\\x{9fff}]')) AS with_han FROM documents GROUP BY 1")
 def language_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
