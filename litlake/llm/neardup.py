@@ -9,8 +9,8 @@ does so).  Candidates must agree in a check word,
 then the complete distance is verified, then the word sets themselves are
 compared exactly.
 
-At J = 0.70, 0.75, 0.80 a pair is found with probability 0.990, 0.9994, 0.99999
-(24 segments of 20 bits); what is found is exact.  Equal word sets are one class
+At J = 0.70, 0.75, 0.80 a pair is found with probability 0.9999, 0.9999997, 1 - 4e-11
+(48 segments of 20 bits); what is found is exact.  Equal word sets are one class
 first.  Nothing is broadcast, no table entry is capped.
 """
 
@@ -27,11 +27,11 @@ from pyspark.sql import functions as F
 from litlake.llm.termcounts import words
 from litlake.session import cut_lineage
 
-SEGMENTS, WIDTH = 24, 20
+SEGMENTS, WIDTH = 48, 20
 BITS = SEGMENTS * WIDTH
 #: Bits of the check word, and of all segments, in which candidates may differ; a pair at J = 0.7 goes beyond
-#: with probability 0.0002 and 0.000003.
-CHECK_LIMIT, FULL_LIMIT = 20, 111
+#: with probability 2e-06 and 8e-07.
+CHECK_LIMIT, FULL_LIMIT = 24, 199
 
 
 def _hashes() -> tuple[np.ndarray, np.ndarray]:

@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,3 +140,16 @@ def test_first_rows(spark):
     df = spark.createDataFrame([("a", 2, "y"), ("a", 1, "x"), (None, 0, "n"), ("b", 3, None)], "k string, pos int, v string")
     assert pairs(classes.first_rows(df, "k", "pos", ["v"])) == {("a", "x"), ("b", None)}
     assert df.where(F.lit(False)).count() == 0
+
+
+def test_pairs_at_the_threshold_become_candidates():
+    rng = np.random.default_rng(4)
+    sets, many = [], 1500
+    for _ in range(many):
+        words = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
+        sets += [np.sort(words[:170]), np.sort(np.concatenate([words[:140], words[170:]]))]  # 140 of 200 words shared
+    bits = np.concatenate([neardup.fingerprints(sets[i : i + 500]) for i in range(0, len(sets), 500)])
+    apart = bits[::2] != bits[1::2]
+    segments = apart[:, : neardup.BITS].reshape(many, neardup.SEGMENTS, neardup.WIDTH).sum(axis=2).min(axis=1) <= 1
+    found = segments & (apart[:, neardup.BITS :].sum(axis=1) <= neardup.CHECK_LIMIT) & (apart[:, : neardup.BITS].sum(axis=1) <= neardup.FULL_LIMIT)
+    assert found.sum() >= many - 2
