@@ -542,12 +542,16 @@ def _item(r) -> tuple[list[list[str]], Furniture, bool]:
     """(pages as lines, running lines, whether it is a caption) of a row of papers or captions."""
     running = Furniture(r.stem, r.title, r.venue, r.year)
     if hasattr(r, "caption"):
+        running.seen.update(r.seen if r.seen is not None else ())
         return [r.caption.split("\n")], running, True
     return [(t or "").split("\n") for t in r.pages], running, False
 
 
 def _ask(shared):
-    """(key, furniture, words) of each item: its furniture as 'page,line,kind' and the words that the broadcast table leaves out."""
+    """(key, furniture, words, stem, seen) of each item.
+
+    Furniture is 'page,line,kind', words are those that the broadcast table leaves out, seen the learned running lines.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -555,8 +559,8 @@ def _ask(shared):
             for r in batch.itertuples(index=False):
                 pages, running, caption = _item(r)
                 furniture = item_furniture(pages, running, caption)
-                rows.append((r.key, [f"{p},{i},{k}" for (p, i), k in furniture.items()], sorted(asked_words(pages, furniture, shared.value["counts"]))))
-            yield pd.DataFrame(rows, columns=["key", "furniture", "words"])
+                rows.append((r.key, [f"{p},{i},{k}" for (p, i), k in furniture.items()], sorted(asked_words(pages, furniture, shared.value["counts"])), r.stem, sorted(running.seen)))
+            yield pd.DataFrame(rows, columns=["key", "furniture", "words", "stem", "seen"])
 
     return run
 
@@ -623,10 +627,17 @@ def scan_papers(papers: DataFrame, captions: DataFrame) -> tuple[DataFrame, Data
     shared = spark.sparkContext.broadcast({"id": uuid.uuid4().hex, "counts": held})
     about = papers.where("stem is not null").groupBy("stem").agg(F.first(F.struct("title", "venue", "year")).alias("m"))
     pages = papers.where(F.size("pages") > 0).select("stem", "title", "venue", "year", "pages")
-    joined = captions.where("caption <> ''").join(about, "stem", "left").select("stem", "item", "caption", "m.title", "m.venue", "m.year")
     # Two 64-bit hashes of the whole row.
-    items = [x.withColumn("key", F.concat_ws(" ", F.xxhash64(*x.columns), F.xxhash64(F.lit(1), *x.columns))) for x in (pages, joined)]
-    looked = [cut_lineage(x.mapInPandas(_ask(shared), "key string, furniture array<string>, words array<string>").dropDuplicates(["key"])) for x in items]
+    keyed = lambda x: x.withColumn("key", F.concat_ws(" ", F.xxhash64(*x.columns), F.xxhash64(F.lit(1), *x.columns)))
+    look = lambda x: cut_lineage(
+        x.mapInPandas(_ask(shared), "key string, furniture array<string>, words array<string>, stem string, seen array<string>").dropDuplicates(["key"])
+    )
+    pages = keyed(pages)
+    looked = [look(pages)]
+    learned = looked[0].where("stem is not null").select("stem", F.explode("seen").alias("line")).groupBy("stem").agg(F.array_sort(F.collect_set("line")).alias("seen"))
+    joined = captions.where("caption <> ''").join(about, "stem", "left").join(learned, "stem", "left")
+    items = [pages, keyed(joined.select("stem", "item", "caption", "m.title", "m.venue", "m.year", "seen"))]
+    looked.append(look(items[1]))
     asked = [x.select("key", F.explode("words").alias("word")) for x in looked]
     facts = cut_lineage(_facts(asked[0].unionByName(asked[1]), counts, least))
     full = []

@@ -310,3 +310,11 @@ def test_context_is_the_whole_paper():
     s.edits["6"] += [("6", "c"), ("6", "e")]
     assert s.original("6at") == "cat"
     assert scans.scan_lines([lines], None, s)[1][0].endswith("the eat the eat the eat")
+
+
+def test_learned_running_lines_in_captions(spark):
+    pages = [f"Annual letters of the society\nplain words number {i} go on here\n{i + 1}" for i in range(6)]
+    papers = spark.createDataFrame([("s", "A Title Of Its Own", None, None, pages), ("t", "Another", None, None, ["x"])], "stem string, title string, venue string, year string, pages array<string>")
+    rows = [(stem, 1, "Fig. 1: words\nAnnual letters of the society\ngo on") for stem in ("s", "t")]
+    _, fixed = scans.scan_papers(papers, spark.createDataFrame(rows, "stem string, item int, caption string"))
+    assert {r["stem"]: [tuple(f) for f in r["findings"]] for r in fixed.collect()} == {"s": [(2, "header")], "t": []}
