@@ -1,9 +1,8 @@
-"""Session helpers: defaults for local runs, and the checkpoint folder."""
+"""Session helpers: defaults for local runs, and the shared folder for intermediate tables."""
 
 from __future__ import annotations
 
-import os
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,13 +34,21 @@ def local_session(cores: int | str = 8, app: str = "litlake", memory: str = "8g"
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a folder of our own only where none is set (tests)."""
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    Where none is named, a folder of our own on the one machine of a local
+    master; on a cluster that is an error, as other machines couldn't read it.
+    """
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="litlake-checkpoint-", dir=os.environ.get("TMPDIR")))
+    if not named:
+        if not context.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        named = context._jvm.java.nio.file.Files.createTempDirectory("litlake-", context._gateway.new_array(context._jvm.java.nio.file.attribute.FileAttribute, 0)).toUri().toString()
+    context.setCheckpointDir(named)
     return context.getCheckpointDir()
 
 
@@ -49,3 +56,16 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it from there, so that lost executors cost no recomputation."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: like ``cut_lineage``, but compressed, and readers take only the columns they need.
+
+    The table is deleted when the driver's JVM ends.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/table-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
