@@ -122,9 +122,9 @@ def p5_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _abstracts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    papers = first_rows(table(spark, sf_dir, "all_papers"), "paper_id", "pos", ["title", "abstract"])
-    filled = papers.where("title <> '' and abstract <> ''")
-    return filled.select(F.col("paper_id").alias("key"), F.concat_ws(" ", "title", "abstract").alias("text"))
+    papers = table(spark, sf_dir, "all_papers")
+    text = F.when((F.col("title") != "") & (F.col("abstract") != ""), F.concat_ws(" ", "title", "abstract"))
+    return papers.select(F.col("paper_id").alias("key"), F.col("pos").alias("place"), text.alias("text"))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

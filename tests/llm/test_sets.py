@@ -142,14 +142,26 @@ def test_first_rows(spark):
     assert df.where(F.lit(False)).count() == 0
 
 
-def test_pairs_at_the_threshold_become_candidates():
+@pytest.mark.parametrize("records,threshold", [(1_000, 0.7), (110_000, 0.7), (110_000, 0.8), (10_000, 0.5), (10**8, 0.7)])
+def test_pairs_at_the_threshold_become_candidates(records, threshold):
+    """Records of two sizes of collection and more: 1,500 pairs whose similarity is the threshold."""
     rng = np.random.default_rng(4)
+    k, segments = neardup.plan(records, threshold)
     sets, many = [], 1500
+    own = round(100 * (1 - threshold))
     for _ in range(many):
         words = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
-        sets += [np.sort(words[:170]), np.sort(np.concatenate([words[:140], words[170:]]))]  # 140 of 200 words shared
-    bits = np.concatenate([neardup.fingerprints(sets[i : i + 500]) for i in range(0, len(sets), 500)])
-    apart = bits[::2] != bits[1::2]
-    segments = apart[:, : neardup.BITS].reshape(many, neardup.SEGMENTS, neardup.WIDTH).sum(axis=2).min(axis=1) <= 1
-    found = segments & (apart[:, neardup.BITS :].sum(axis=1) <= neardup.CHECK_LIMIT) & (apart[:, : neardup.BITS].sum(axis=1) <= neardup.FULL_LIMIT)
-    assert found.sum() >= many - 2
+        shared = words[: 2 * (100 - own)]
+        sets += [np.sort(np.concatenate([shared, words[200 - 2 * own : 200 - own]])), np.sort(np.concatenate([shared, words[200 - own :]]))]
+    prints = np.concatenate([neardup.fingerprints(sets[i : i + 500], k * segments) for i in range(0, len(sets), 500)])
+    apart = prints[::2] != prints[1::2]
+    symbols, check = apart[:, : k * segments], apart[:, k * segments :]
+    met = symbols.reshape(many, segments, k).sum(axis=2).min(axis=1) <= 1
+    near = (check.sum(axis=1) <= neardup.most_apart(neardup.CHECK, (1 - threshold) / 2)) & (symbols.sum(axis=1) <= neardup.most_apart(k * segments, 1 - threshold))
+    assert (met & near).sum() >= many - 2
+
+
+def test_near_duplicates_by_place(spark):
+    df = spark.createDataFrame([("a", 2, "One two three"), ("a", 1, "four five"), ("b", 9, "four, FIVE"), ("c", 1, None), ("c", 2, "one two three"), (None, 1, "four five")], "key string, place long, text string")
+    members, links = neardup.near_duplicates(df)
+    assert pairs(classes.expand_pairs(members, links.select("cls_a", "cls_b"), "key")) == {("a", "b")} and links.count() == 0
