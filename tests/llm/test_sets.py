@@ -34,6 +34,16 @@ def test_similar_sets(spark, threshold, words, seed):
     assert pairs(classes.expand_pairs(members, links.select("cls_a", "cls_b"), "id")) == brute(sets, threshold, 3)
 
 
+@pytest.mark.parametrize("hot", [1, 3])
+def test_split_keys(spark, monkeypatch, hot):
+    monkeypatch.setattr(setjoin, "HOT", hot)
+    rng = random.Random(8)
+    sets = {f"r{i:03}": ["a", "b", *rng.choices("cdefgh", k=rng.randint(1, 4))] for i in range(120)}
+    members, links = setjoin.similar_sets(table(spark, sets), "id", "items", 0.6, 3)
+    assert pairs(classes.expand_pairs(members, links.select("cls_a", "cls_b"), "id")) == brute(sets, 0.6, 3)
+    assert setjoin.parts_of((1, 2), {1: 9, 2: 5}, hot) == 1 + 5 // hot and setjoin.parts_of((1, 3), {1: 9}, hot) == 1 + 1 // hot
+
+
 def test_sets_in_one_segment(spark, monkeypatch):
     monkeypatch.setattr(setjoin, "_cut", lambda tokens, m: {0: tuple(tokens)})
     for n in range(3, 9):
