@@ -30,11 +30,12 @@ def encoding(folder: str = FOLDER, vocabulary: str = VOCABULARY):
 
 
 def token_count(text: Column, folder: str = FOLDER, vocabulary: str = VOCABULARY) -> Column:
-    """Number of tokens; null for null."""
+    """Number of tokens; null for null.  Equal texts of an Arrow batch are counted once."""
 
     @F.pandas_udf(T.LongType())
     def count(texts: pd.Series) -> pd.Series:
         coder = encoding(folder, vocabulary)
-        return texts.map(lambda t: len(coder.encode_ordinary(t)), na_action="ignore").astype("Int64")
+        known = {t: len(coder.encode_ordinary(t)) for t in set(texts.dropna())}
+        return texts.map(known.get, na_action="ignore").astype("Int64")
 
     return count(text)
