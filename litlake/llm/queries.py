@@ -175,7 +175,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The end of every sentence unit of every document."""
-    return sentences.sentences(table(spark, sf_dir, "documents"), "doc_id")
+    return sentences.sentences(table(spark, sf_dir, "documents"), "doc_id", distinct=False)  # doc_id is unique
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -8,17 +8,23 @@ and whether they opened at the start of the unit, and which end mark waits for
 the next token.  Rules are stated once, as the function ``_step``; the table of
 all reachable states is built from it at import.
 
-A long document is cut into chunks at places where no token can span.  Each
+A document longer than a chunk may be is cut into chunks at places where no token
+can span, and its chunks are spread over all tasks.  Each
 chunk is processed as a function from every state to the state at its end and
 the boundaries emitted on the way (states merge quickly, so this costs little
-more than one run); the functions are composed by a prefix scan over the
-document's chunks, which gives each chunk its true start state.
+more than one run); the functions are composed by a parallel prefix scan, which
+gives each chunk its true start state: upwards, ``FAN`` functions at a time are
+composed to one, in three levels, which is enough for any text that a row can hold;
+downwards, each level's start states give those of the level below.  A document
+of one chunk needs no function, as its start state is known.
 
 Rules in short: blank lines always end a unit; a list entry is its line; a full
 stop ends a unit unless it belongs to an abbreviation, a number, a name or an
 ellipsis that goes on in lower case; quotes and brackets opened inside a unit
 hide the end marks in them; a bracket opened at the start of a unit is a unit of
-its own; a quotation at the start that is followed by its speaker goes on; Thai
+its own; marks that stay open over more than ``HIDDEN`` ends were never meant to
+close, so the next end counts and they are given up; marks opened inside ``HELD``
+others are counted, up to ``OVER`` of them, until they are closed; a quotation at the start that is followed by its speaker goes on; Thai
 units end at the space between two Thai runs.
 """
 
@@ -29,11 +35,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from litlake.session import written
+
 #: Characters per chunk, about, and how much longer one gets in search of a safe cut.
 CHUNK, SEARCH = 16_384, 16_384
+#: Functions composed at a time in the scan.  A row's text has less than 2**31 characters, hence less than FAN**3 chunks.
+FAN = 64
+#: Open marks whose kind and place are kept, further ones that are counted, and unit ends that open marks may hide.
+HELD, OVER, HIDDEN = 2, 3, 2
 
 # Abbreviations.  The first never end a unit, the second end one
 # before a capital letter or a number, the third (months, numbers) are
@@ -117,11 +129,13 @@ _SCRIPT = {"CJK", "THAI_END"}
 # A state is (mode, started, open, waiting).
 #   mode      P paragraph start, L line after a list entry, I in a list entry or heading line, B elsewhere
 #   started   the unit has a token
-#   open      up to two open marks, each a pair of kind (q quote, h single quote, b bracket) and s or m: opened at the unit's start or in it
+#   open      up to HELD open marks, each a pair of kind (q quote, h single quote, b bracket) and s or m: opened at the unit's start or in it
 #   waiting   '' or the end mark before: T full stop etc., C of a script without capitals, E ellipsis, A abbreviation,
 #             QS QM quote closed after an end mark, BS bracket closed after one
-State = tuple[str, bool, tuple[str, ...], str]
-START: State = ("P", False, (), "")
+#   over      further marks that are open within those
+#   hidden    unit ends that the open marks have hidden so far
+State = tuple[str, bool, tuple[str, ...], str, int, int]
+START: State = ("P", False, (), "", 0, 0)
 
 
 def _ends(waiting: str, cls: str) -> bool:
@@ -143,37 +157,46 @@ def _ends(waiting: str, cls: str) -> bool:
 
 def _step(state: State, cls: str) -> tuple[State, bool]:
     """The state after a token of class ``cls``, and whether a unit ends before it."""
-    mode, started, stack, waiting = state
+    mode, started, stack, waiting, over, hidden = state
     if cls in ("BREAK", "EOF"):
         return START, started
     if mode == "I" and cls != "WS":
-        return (("L", False, (), ""), started) if cls == "NL" else (("I", True, (), ""), False)
+        return (("L", False, (), "", 0, 0), started) if cls == "NL" else (("I", True, (), "", 0, 0), False)
     if cls in ("NL", "WS"):
         return state, False
     if cls in ("BULLET", "MARK"):
         if not started and mode in "PL":
-            return ("I", True, (), ""), False
+            return ("I", True, (), "", 0, 0), False
         if cls == "BULLET" and not stack and waiting:
-            return ("I", True, (), ""), True
+            return ("I", True, (), "", 0, 0), True
         cls = "OTHER" if cls == "BULLET" else "LOW"
     emit = False
-    if waiting and not stack and cls not in ("TERM", "ELL", "CTERM", "CLQ", "CLB", "CLS"):
+    if waiting and cls not in ("TERM", "ELL", "CTERM", "CLQ", "CLB", "CLS"):
         emit = _ends(waiting, cls)
+        if emit and stack:
+            hidden += 1
+            if emit := hidden > HIDDEN:
+                stack, over, hidden = (), 0, 0
         if emit:
             started = False
-        waiting = ""
+        if emit or not stack:
+            waiting = ""
     mode = "B"
     where = "m" if started else "s"
     if cls in ("OPQ", "OPS", "OPB", "OPB_U"):
         kind = {"OPQ": "q", "OPS": "h"}.get(cls, "b")
-        if len(stack) < 2:
+        if len(stack) < HELD:
             stack = (*stack, kind + where)
-        return (mode, True, stack, ""), emit
+        else:
+            over = min(over + 1, OVER)
+        return (mode, True, stack, "", over, hidden), emit
     if cls in ("CLQ", "CLS", "CLB"):
         kind = {"CLQ": "q", "CLS": "h"}.get(cls, "b")
+        if over:
+            return (mode, True, stack, "T" if waiting else "", over - 1, hidden), emit
         at = max((i for i, x in enumerate(stack) if x[0] == kind), default=None)
         if at is None:  # a stray mark belongs to the unit and changes nothing
-            return (mode, True, stack, waiting), emit
+            return (mode, True, stack, waiting, over, hidden), emit
         closed, stack = stack[at], stack[:at]
         if not waiting:
             after = ""
@@ -183,16 +206,16 @@ def _step(state: State, cls: str) -> tuple[State, bool]:
             after = "BS" if closed[1] == "s" else ""
         else:
             after = "QS" if closed[1] == "s" else "QM"
-        return (mode, True, stack, after), emit
+        return (mode, True, stack, after, over, hidden if stack else 0), emit
     if cls == "TERM":
-        return (mode, True, stack, "C" if waiting == "C" else "T"), emit
-    if cls == "CTERM" or (cls == "THAI_END" and not stack):
-        return (mode, True, stack, "C"), emit
-    if cls == "ELL":
-        return (mode, True, stack, "C" if waiting == "C" else "E"), emit
-    if cls in ("ABE_U", "ABE_L"):
-        return (mode, True, stack, "A"), emit
-    return (mode, True, stack, ""), emit
+        after = "C" if waiting == "C" else "T"
+    elif cls == "CTERM" or (cls == "THAI_END" and not stack):
+        after = "C"
+    elif cls == "ELL":
+        after = "C" if waiting == "C" else "E"
+    else:
+        after = "A" if cls in ("ABE_U", "ABE_L") else ""
+    return (mode, True, stack, after, over, hidden), emit
 
 
 def _compile() -> tuple[list[State], np.ndarray, np.ndarray]:
@@ -326,11 +349,10 @@ def sentence_ends(text: str, size: int = CHUNK) -> list[int]:
 def _cut(size: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
             for key, tag, text in zip(batch["key"], batch["tag"], batch["text"], strict=True):
                 parts = chunks(text, size)
-                rows.extend((key, tag, n, n == len(parts) - 1, s, b, text[s:e]) for n, (s, e, b) in enumerate(parts))
-            yield pd.DataFrame(rows, columns=["key", "tag", "chunk", "last", "start", "before", "text"])
+                rows = [(key, tag, n, n == len(parts) - 1, s, b, text[s:e]) for n, (s, e, b) in enumerate(parts)]
+                yield pd.DataFrame(rows, columns=["key", "tag", "chunk", "last", "start", "before", "text"])
 
     return run
 
@@ -339,7 +361,7 @@ def _functions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for r in batch.itertuples(index=False):
-            if r.chunk == 0:
+            if r.chunk == 0:  # entered in one state only
                 state, ends = run_from(r.text, 0, 0, 0, r.last)
                 rows.append((r.key, r.tag, r.chunk, [state], [0], [ends]))
             else:
@@ -347,41 +369,65 @@ def _functions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["key", "tag", "chunk", "following", "which", "lists"])
 
 
-def _both(size: int):
-    cut = _cut(size)
-    return lambda batches: _functions(cut(batches))
+def _whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield pd.DataFrame({"key": batch["key"], "tag": batch["tag"], "ends": [run_from(t, 0)[1] for t in batch["text"]]})
+
+
+def _composed(parts: str) -> Column:
+    """The function that applies those of the array ``parts`` in turn."""
+    first = F.element_at(parts, 1)["following"]
+    return F.aggregate(F.slice(parts, 2, FAN), first, lambda now, p: F.transform(now, lambda state: F.element_at(p["following"], state + 1)))
+
+
+def _starts(parts: str, start: Column) -> Column:
+    """(place, start) for each function of ``parts``, the first of which starts in ``start``."""
+    after = lambda seen, p: F.concat(seen, F.array(F.element_at(p["following"], F.element_at(seen, -1) + 1)))
+    states = F.aggregate(F.slice(parts, 1, F.size(parts) - 1), F.array(start), after)
+    return F.zip_with(parts, states, lambda p, s: F.struct(p["place"].alias("place"), s.alias("start")))
+
 
+def prefix_scan(functions: DataFrame) -> DataFrame:
+    """(tag, chunk, start): the start state of each chunk of ``functions`` (tag, chunk, following), a table that is cheap to read again.
 
-def sentences(documents: DataFrame, key: str, text: str = "text", size: int = CHUNK, spread: bool = False) -> DataFrame:
+    No task ever holds more than ``FAN`` functions of a text.  Repeated rows count once.
+    """
+
+    def gathered(level: DataFrame) -> DataFrame:
+        return level.groupBy("tag", F.floor(F.col("place") / FAN).cast("int").alias("group")).agg(
+            F.array_sort(F.collect_set(F.struct("place", "following"))).alias("parts")
+        )
+
+    levels = [gathered(functions.select("tag", F.col("chunk").alias("place"), "following"))]
+    for _ in range(2):
+        levels.append(gathered(levels[-1].select("tag", F.col("group").alias("place"), _composed("parts").alias("following"))))
+    starts = levels[-1].select("tag", F.inline(_starts("parts", F.lit(0))))
+    for level in reversed(levels[:-1]):
+        known = starts.select("tag", F.col("place").alias("group"), F.col("start").alias("__start"))
+        starts = level.join(known, ["tag", "group"]).select("tag", F.inline(_starts("parts", F.col("__start"))))
+    return starts.select("tag", F.col("place").alias("chunk"), "start")
+
+
+def sentences(documents: DataFrame, key: str, text: str = "text", size: int = CHUNK, distinct: bool = True) -> DataFrame:
     """(key, sent_end): one row per unit, sent_end in code points from the start of the text.
 
     Null, empty and blank texts have no units.  Rows with equal key and text
-    count once; with equal key and other text, each text by itself.  ``spread``
-    shuffles the chunks of documents over all tasks: for texts so long that one
-    of them would hold up its task.
+    count once; with equal key and other text, each text by itself.  ``distinct``
+    may be False if no row is repeated: then texts of one chunk are never shuffled.
     """
     kind = dict(documents.dtypes)[key]
-    ready = documents.select(F.col(f"`{key}`").alias("key"), F.xxhash64(text).alias("tag"), F.col(f"`{text}`").alias("text")).where("text <> ''")
-    mapped = f"key {kind}, tag long, chunk int, following array<int>, which array<int>, lists array<array<int>>"
-    if spread:
-        cut = ready.mapInPandas(_cut(size), f"key {kind}, tag long, chunk int, last boolean, start int, before int, text string")
-        functions = cut.repartition("key", "chunk").mapInPandas(_functions, mapped)
-    else:
-        functions = ready.mapInPandas(_both(size), mapped)
-    parts = functions.groupBy("key", "tag").agg(
-        F.array_sort(F.collect_set(F.struct("chunk", "following", "which", "lists"))).alias("parts")
-    )
-    # Prefix scan: the start state of each chunk is the composition of the functions before it.
-    states = F.aggregate(
-        "parts",
-        F.array(F.lit(0)),
-        lambda seen, p: F.concat(seen, F.array(F.element_at(p["following"], F.element_at(seen, -1) + 1))),
-    )
-    chosen = F.zip_with(
-        "parts", F.slice(states, 1, F.size("parts")), lambda p, s: F.element_at(p["lists"], F.element_at(p["which"], s + 1) + 1)
-    )
-    return parts.select("key", F.explode(F.array_distinct(F.flatten(chosen))).alias("__end")).select(
-        F.col("key").alias(key), F.col("__end").cast("long").alias("sent_end")
-    )
-
-
+    ready = documents.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).where("text <> ''")
+    # Two 64-bit hashes name a key's text.
+    ready = ready.withColumn("tag", F.concat_ws(" ", F.xxhash64("key", "text"), F.xxhash64(F.lit(1), "key", "text")))
+    short = F.char_length("text") <= size + SEARCH
+    whole = ready.where(short).mapInPandas(_whole, f"key {kind}, tag string, ends array<int>")
+    if distinct:
+        whole = whole.dropDuplicates(["tag"])
+    cut = ready.where(~short).mapInPandas(_cut(size), f"key {kind}, tag string, chunk int, last boolean, start int, before int, text string")
+    mapped = f"key {kind}, tag string, chunk int, following array<int>, which array<int>, lists array<array<int>>"
+    functions = written(cut.repartition("tag", "chunk").mapInPandas(_functions, mapped))
+    known = prefix_scan(functions).withColumnRenamed("start", "state")
+    ends = F.element_at("lists", F.element_at("which", F.col("state") + 1) + 1)
+    long = functions.dropDuplicates(["tag", "chunk"]).join(known, ["tag", "chunk"]).select("key", "tag", ends.alias("ends"))
+    found = whole.unionByName(long).select("key", F.explode(F.array_distinct("ends")).alias("__end"))
+    return found.select(F.col("key").alias(key), F.col("__end").cast("long").alias("sent_end"))

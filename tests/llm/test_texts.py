@@ -193,18 +193,56 @@ def test_chunks_compose(parts):
         sentences.SEARCH = old
 
 
-@pytest.mark.parametrize("spread", [False, True])
-def test_sentence_operator(spark, spread):
+def test_sentence_operator(spark):
     long = "Plain words go on here. " * 9000 + "\n\n情感很好。" * 3000
     rows = [(1, "Ab cd. Ef gh."), (1, "Ab cd. Ef gh."), (2, None), (3, ""), (4, " \n"), (5, long), (1, "Other. Text.")]
     df = spark.createDataFrame([(k, x, "e") for k, x in rows], "doc long, text string, sent_end string")
-    out = sentences.sentences(df, "doc", spread=spread)
+    out = sentences.sentences(df, "doc")
     got = sorted(map(tuple, out.collect()))
     assert [e for k, e in got if k == 5] == sentences.sentence_ends(long) and len([1 for k, _ in got if k == 5]) == 12_000
     assert [x for x in got if x[0] != 5] == [(1, 6), (1, 6), (1, 12), (1, 13)]
     assert sentences.sentences(df.limit(0), "doc").count() == 0
 
 
+def test_long_text_over_several_tasks(spark):
+    parts = ["Plain words go on (here. Really) and there. ", "He said “no. Never.” and left. ", "一句话。又一句话。", "\n\n", "- item one. x\n", "About 3.5 of them, e.g. Dr. B. Smith, came. "]
+    rng = random.Random(6)
+    long = "".join(rng.choice(parts) for _ in range(400_000))  # some 10 MB in some 600 chunks: three levels
+    assert len(long.encode()) > 10_000_000
+    df = spark.createDataFrame([(None, long), (2, "Ab cd. Ef gh.")], "doc long, text string")
+    out = sentences.sentences(df, "doc", distinct=False)
+    got = out.collect()
+    assert sorted(r["sent_end"] for r in got if r["doc"] is None) == sentences.run_from(long, 0)[1]
+    assert sorted(r["sent_end"] for r in got if r["doc"] == 2) == [6, 13]
+
+
+def test_prefix_scan(spark, monkeypatch):
+    monkeypatch.setattr(sentences, "FAN", 3)
+    rng = random.Random(7)
+    rows, want = [], {}
+    for tag, n in (("a", 1), ("b", 3), ("c", 27), ("d", 20)):
+        state = 0
+        for i in range(n):
+            f = [rng.randrange(4) for _ in range(1 if i == 0 else 4)]
+            rows.append((tag, i, f))
+            want[tag, i] = state
+            state = f[state]
+    df = spark.createDataFrame(rows + rows[:5], "tag string, chunk int, following array<int>")
+    assert {(r["tag"], r["chunk"]): r["start"] for r in sentences.prefix_scan(df).collect()} == want
+
+
+@pytest.mark.parametrize(
+    "text,units",
+    [
+        ("This is (a test. Next one. Another one here. Last.", 2),
+        ('A "stray mark here. It goes on. And on. And on. And on.', 3),
+        ("He (that is [the {inner. Part} of] it. All) came. Then he left.", 2),
+    ],
+)
+def test_marks_that_never_close(text, units):
+    assert len(sentences.sentence_ends(text)) == units
+
+
 # ---- scans ----------------------------------------------------------------------------------------------
 
 
