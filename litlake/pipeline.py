@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from litlake import ports
 from litlake.functions import text as t
 from litlake.operators import match, reports, sections, tables
+from litlake.session import written
 from litlake.sources import files, sinks
 
 
@@ -22,11 +23,12 @@ def filter_stage(papers: DataFrame, keywords: list[str], **options: object) -> D
 def download_stage(papers: DataFrame, conference: str, year: int, fetcher: ports.Fetcher) -> tuple[DataFrame, DataFrame]:
     """(papers with their expected file and status, contents (file, content, error)); papers without an address are missing.
 
-    Papers of one file name are fetched once.
+    Papers of one file name are fetched once, here: what was fetched is written
+    to the shared folder, and both results read it from there.
     """
     named = papers.withColumn("__file", t.pdf_name(F.lit(year), F.lit(conference), F.coalesce("title", F.lit("nan"))))
     wanted = named.where(~t.is_blank(F.col("url"))).groupBy(F.col("__file").alias("file")).agg(F.min(t.pdf_url(F.col("url"))).alias("url"))
-    contents = ports.fetch_all(wanted, "file", "url", fetcher)
+    contents = written(ports.fetch_all(wanted, "file", "url", fetcher))
     there = contents.where("error is null").select(F.col("file").alias("path"))
     return tables.reconcile_files(named, F.col("__file"), there).drop("__file"), contents
 
@@ -49,7 +51,7 @@ def report_stage(papers: DataFrame, parsed: DataFrame, summaries: DataFrame, ord
     """Report records of summarised papers; the introduction is Chinese if the summary is."""
     rows = papers.where(~t.is_blank(F.col("pdf_path"))).withColumn("__file", t.base_name(F.col("pdf_path")))
     first = tables.keep_first(rows.select("__file", order, "paper_id", "title", "keywords", "matched_keywords", "abstract"), ["__file"], order)
-    texts = parsed.groupBy("stem").agg(F.first(F.struct("pdf_path", "full_text", "venue", "year")).alias("p")).select("stem", "p.*")
+    texts = parsed.groupBy("stem").agg(F.min(F.struct("pdf_path", "full_text", "venue", "year")).alias("p")).select("stem", "p.*")
     joined = texts.join(summaries.select("stem"), "stem").join(first, t.base_name(texts["pdf_path"]) == first["__file"], "left")
     return reports.report_metadata(joined.drop("__file", order))
 

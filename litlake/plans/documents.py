@@ -85,7 +85,7 @@ def packed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def section_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     papers = tables.keep_first(table(spark, sf_dir, "parsed_papers").where("full_text <> ''").select("stem", "parsed_at", "full_text"), ["stem"], "parsed_at")
-    return papers.select("stem", F.posexplode(sections.chunks(F.col("full_text"))).alias("n", "chunk"))
+    return sections.chunks(papers, "stem", "full_text")
 
 
 @query(

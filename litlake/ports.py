@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from litlake.operators.sections import chunks
+from litlake.session import cut_lineage, written
 
 
 class Completer(Protocol):
@@ -117,15 +118,19 @@ def fetch_all(urls: DataFrame, key: str, url: str, port: Fetcher) -> DataFrame:
 
 
 def summarize(docs: DataFrame, key: str, text: str, port: Completer, size: int = 12_000) -> DataFrame:
-    """(key, summary, parts, error): each chunk is one call, the answers in order are one more; short texts need one call."""
-    parts = docs.select(key, F.posexplode(chunks(F.col(text), size)).alias("part", "chunk"))
-    answers = complete_all(parts, [key, "part"], "chunk", port)
+    """(key, summary, parts, error): each chunk is one call, the answers in order are one more; short texts need one call.
+
+    The calls are made here, once each: all answers are written to the shared
+    folder before they are used.  ``key`` must be unique.
+    """
+    parts = chunks(docs, key, text, size).withColumnRenamed("n", "part")
+    answers = written(complete_all(parts, [key, "part"], "chunk", port))
     gathered = answers.groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct("part", "answer"))).alias("a"), F.max("error").alias("error"), F.count("*").alias("parts")
     )
     prompt = F.array_join(F.transform("a", lambda x: F.concat(F.lit("### "), (x["part"] + 1).cast("string"), F.lit("\n"), x["answer"])), "\n\n")
     single = gathered.where("parts = 1 and error is null").select(key, F.col("a")[0]["answer"].alias("summary"), "parts", "error")
     several = gathered.where("parts > 1 and error is null").select(key, prompt.alias("prompt"), "parts")
-    reduced = complete_all(several, [key, "parts"], "prompt", port).select(key, F.col("answer").alias("summary"), "parts", "error")
+    reduced = cut_lineage(complete_all(several, [key, "parts"], "prompt", port)).select(key, F.col("answer").alias("summary"), "parts", "error")
     failed = gathered.where("error is not null").select(key, F.lit(None).cast("string").alias("summary"), "parts", "error")
     return single.unionByName(reduced).unionByName(failed)

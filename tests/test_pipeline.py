@@ -85,3 +85,36 @@ def test_command_line(spark, tmp_path):
     assert files.read_table(spark, str(tmp_path / "out.parquet")).count() == 2
     pipeline.main(["export", "--input", str(tmp_path / "in.parquet"), "--output", str(tmp_path / "lines")])
     assert sorted(r[0] for r in spark.read.text(str(tmp_path / "lines")).collect()) == ["+ Emotion A [Paper](u1)", "+ x [Paper](u2)"]
+
+
+def test_each_call_is_made_once(spark, tmp_path):
+    class Counting:
+        """Answers like the stand-in and writes down each call."""
+
+        def __init__(self, folder):
+            self.folder = str(folder)
+
+        def _note(self, what):
+            import os
+            import uuid
+
+            with open(os.path.join(self.folder, uuid.uuid4().hex), "w") as f:
+                f.write(what)
+
+        def complete(self, prompt):
+            self._note(prompt)
+            return prompt[:20]
+
+        def fetch(self, url):
+            self._note(url)
+            return b"%PDF"
+
+    docs = spark.createDataFrame([(i, "\n\n".join("w" * 700 for _ in range(4))) for i in range(10)] + [(99, "short")], "k int, text string")
+    out = ports.summarize(docs, "k", "text", Counting(tmp_path), 1000)
+    assert out.count() == 11 and {r["parts"] for r in out.collect()} == {1, 4}
+    assert len(list(tmp_path.iterdir())) == 10 * 5 + 1
+    (tmp_path / "f").mkdir()
+    papers = spark.createDataFrame([(i, f"p{i}", f"Title {i}", f"http://a/{i}") for i in range(7)], "pos int, paper_id string, title string, url string")
+    done, contents = pipeline.download_stage(pipeline.filter_stage(papers, ["title"], columns=["title"]), "ICLR", 2026, Counting(tmp_path / "f"))
+    assert done.where("download_status = 'downloaded'").count() == 7 and contents.count() == 7
+    assert len(list((tmp_path / "f").iterdir())) == 7
