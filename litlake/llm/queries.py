@@ -91,8 +91,12 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_terms(spark, sf_dir).where("mark is not null").select("field", "term", "mark")
 
 
-def _scanned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    papers = table(spark, sf_dir, "parsed_papers").select("stem", "title", "venue", "year", F.col("page_texts").alias("pages"))
+def _scanned(spark: SparkSession, sf_dir: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``whole``: the full text of a paper without pages stands for its only page."""
+    pages = F.col("page_texts")
+    if whole:
+        pages = F.when(F.size(pages) > 0, pages).when(F.col("full_text") != "", F.array("full_text"))
+    papers = table(spark, sf_dir, "parsed_papers").select("stem", "title", "venue", "year", pages.alias("pages"))
     captions = table(spark, sf_dir, "visual_items").select(F.col("source_stem").alias("stem"), F.col("item_index").alias("item"), "caption")
     return scans.scan_papers(papers, captions)
 
@@ -110,8 +114,8 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The running paragraphs of each paper; papers parsed twice give theirs once."""
-    pages, _ = _scanned(spark, sf_dir)
+    """The running paragraphs of each paper, from its pages or else its full text; papers parsed twice give theirs once."""
+    pages, _ = _scanned(spark, sf_dir, whole=True)
     return pages.select("stem", F.posexplode("paragraphs").alias("n", "paragraph")).select("stem", (F.col("n") + 1).alias("para_no"), "paragraph").distinct()
 
 
@@ -141,6 +145,11 @@ def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members.join(groups, members["cls"] == groups["node"]).select(F.col("key").alias("paper_id"), "cls", "grp")
 
 
+def p6_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links between classes of equal word sets, with their similarity: with the classes in ``p6_groups`` all pairs, unexpanded."""
+    return neardup.near_duplicates(_abstracts(spark, sf_dir), 0.7)[1]
+
+
 def _capacity(spark: SparkSession, sf_dir: str) -> int:
     return table(spark, sf_dir, "size_limits").where("item = 'container'").first()["max_size"]
 
@@ -180,6 +189,6 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_pieces, p3_found, p3_links, p4_found, p4_terms, p5_found, p5_paragraphs, p5_captions, p6_found, p6_groups, p7_containers, p7_fill, p8_mix, p8_shares, p9_found)
+    for f in (p1_found, p1_pieces, p3_found, p3_links, p4_found, p4_terms, p5_found, p5_paragraphs, p5_captions, p6_found, p6_groups, p6_links, p7_containers, p7_fill, p8_mix, p8_shares, p9_found)
 }
 ORACLES: dict[str, str] = sql.ORACLES

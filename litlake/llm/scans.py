@@ -1,18 +1,24 @@
 """Problem 5: noise in text from scanned pages.
 
 Method: words that the collection hardly knows are looked up in a trie of its
-vocabulary by a Levenshtein automaton whose edits are the confusions of optical
-recognition: substitutions, and the merges and splits that scanning makes (rn and
-m, cl and d, ri and n).  Trie and automaton are walked together, so all
-candidates within two such edits are found (other edits are left out, as README says), and no others are looked at.  Candidates are
-ranked by edits, by their use in the same paper (the context) and in the
+vocabulary by a Levenshtein automaton.  Its edits are the substitution, insertion and
+deletion of any letter, and the confusions of optical recognition, merges and splits
+(rn and m, cl and d, ri and n) among them, which count as one edit each.  Trie and
+automaton are walked together, so all
+candidates within two edits are found, and no others are looked at.  Which of them count
+is decided as over a noisy channel: a confusion is far more likely than any other
+edit, so a candidate reached by confusions alone must be ``RATIO`` times as frequent as
+the word, and ``GENERAL`` times for each other edit.  A branch of the trie that holds
+no word frequent enough is not entered.  What is left is
+ranked by edits, by use in the same paper (the context) and in the
 collection.  Then page furniture (running lines, page numbers) is removed, words
 broken at line ends are joined, and lines are put together to paragraphs.
 
 Counts are taken over all words of the collection in a first pass.  The words that
 make up at least one in ``VOCABULARY`` of all words, at most ``VOCABULARY`` of them
-whatever the size, are broadcast.  A second pass lists the other words that each
-item asks for; their counts, and candidates too rare for the broadcast table, come
+whatever the size, are broadcast.  A second pass lists the words of each item that are
+not known for certain; all distinct ones are corrected in parallel.  Their counts, and
+candidates too rare for the broadcast table, come
 from the complete table of counts by joins, so every decision is taken on true counts.
 """
 
@@ -20,22 +26,32 @@ from __future__ import annotations
 
 import re
 import uuid
+from array import array
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from litlake.session import cut_lineage
+from litlake.session import written
 
 #: Bound of the broadcast vocabulary; a word must also occur LEAST times.
 VOCABULARY, LEAST = 1_000_000, 3
 #: A misread word's original must be this many times as frequent, and a word taken for an original at least ANCHOR times.
 #: For words of two or three letters, which are near too many others, the ratio is SHORT_RATIO and one edit is allowed.
 RATIO, SHORT_RATIO, ANCHOR = 8, 2000, 12
+#: The same for each edit that is no confusion: inflected forms and rare words lie one such edit from frequent words.
+#: Words with fewer than FULL letters take none.
+GENERAL, FULL = 2000, 5
 #: Edits allowed in one word.
 EDITS = 2
+#: Filled lines at each end of a page from which running lines are learned, and among which they are looked for: a page
+#: has at most two such lines at an end, and a page number beside them.
+LEARNED, EDGE = 2, 3
+#: Characters of a running line (a longer one is running text, a shorter one can't be told from any other word) and of a page's number.
+RUNNING, NUMBER = (4, 220), 24
 
 # Confusions of optical recognition, as read -> as printed.
 CONFUSIONS = (
@@ -80,96 +96,153 @@ def _compounds(text: str) -> list[str]:
     return [c for w in text.split() if "-" in w for c in _COMPOUND.findall(w)]
 
 
-class Speller:
-    """Vocabulary trie and automaton."""
+def needed(n: int, word: str, general: int, edits: int) -> float:
+    """Occurrences that an original of ``word`` must have, if that occurs ``n`` times and the original is so many edits away."""
+    if not general:
+        if len(word) > 3 or any(c in "0158@|" for c in word):
+            return max(ANCHOR, RATIO * n)
+        return max(ANCHOR, SHORT_RATIO * n) if edits < 2 else float("inf")
+    return max(ANCHOR, GENERAL**general * n) if len(word) >= FULL else float("inf")
+
+
+#: An original that a word may be a misreading of: (edits that are no confusions, all edits, word, place of the first edit, occurrences).
+Candidate = tuple[int, int, str, int, int]
+
+
+class Trie:
+    """A vocabulary with its counts as a trie in flat arrays, some 13 bytes a node: the children of a node are neighbours."""
 
     def __init__(self, counts: dict[str, int]) -> None:
-        self.counts = counts
-        #: Of the item at hand: counts of words that ``counts`` leaves out, and candidates among these.
+        self.words = sorted(counts)
+        words = self.words
+        spans, labels = [(0, len(words), 0)], [""]
+        self.first, self.final = array("i"), array("i")
+        for low, high, depth in spans:  # grows as it is read
+            self.first.append(len(spans))
+            if low < high and len(words[low]) == depth:
+                self.final.append(low)
+                low += 1
+            else:
+                self.final.append(-1)
+            while low < high:
+                letter, end = words[low][depth], low + 1
+                while end < high and words[end][depth] == letter:
+                    end += 1
+                spans.append((low, end, depth + 1))
+                labels.append(letter)
+                low = end
+        self.first.append(len(spans))
+        self.labels = "".join(["\n", *labels[1:]])
+        self.counts = array("q", (counts[w] for w in words))
+        #: The highest count below each node.
+        self.most = array("q", bytes(8 * len(spans)))
+        for node in range(len(spans) - 1, -1, -1):
+            own = self.counts[self.final[node]] if self.final[node] >= 0 else 0
+            self.most[node] = max(own, max(self.most[self.first[node] : self.first[node + 1]], default=0))
+
+    def search(self, word: str, need: Callable[[int, int], float], edits: dict[str, list[tuple[str, str]]]) -> list[Candidate]:
+        """The words within ``EDITS`` edits of ``word`` that occur need(edits that are no confusions, edits) times."""
+        first, labels, most, final = self.first, self.labels, self.most, self.final
+        limits = {(g, e): need(g, e) for e in range(1, EDITS + 1) for g in range(e + 1)}
+        limits[0, 0] = min(limits[0, 1], limits[1, 1])  # nothing below is of use to any candidate
+        found: dict[int, tuple[int, int, int]] = {}
+        size = len(word)
+        stack = [(0, 0, 0, 0, size)]  # node, place in the word, edits that are no confusions, edits, place of the first edit
+        seen = set()
+        while stack:
+            state = stack.pop()
+            node, at, general, used, start = state
+            if general:
+                if state in seen:
+                    continue
+                seen.add(state)
+            low, high = first[node], first[node + 1]
+            more = used < EDITS and most[node] >= limits[general + 1, used + 1]
+            if at == size:
+                if used and final[node] >= 0 and self.counts[final[node]] >= limits[general, used]:
+                    here = (general, used, start)
+                    if here < found.get(final[node], (9, 9, 0)):
+                        found[final[node]] = here
+            else:
+                letter = word[at]
+                child = labels.find(letter, low, high)
+                if child >= 0 and most[child] >= limits[general, used]:
+                    stack.append((child, at + 1, general, used, start))
+                if used < EDITS:
+                    for read, printed in edits.get(letter, ()):
+                        if word.startswith(read, at):
+                            below = node
+                            for x in printed:
+                                below = labels.find(x, first[below], first[below + 1])
+                                if below < 0:
+                                    break
+                            else:
+                                if most[below] >= limits[general, used + 1]:
+                                    stack.append((below, at + len(read), general, used + 1, min(start, at)))
+                if more:
+                    stack.append((node, at + 1, general + 1, used + 1, min(start, at)))
+            if more:
+                limit, place = limits[general + 1, used + 1], min(start, at)
+                for child in range(low, high):
+                    if most[child] >= limit:
+                        stack.append((child, at, general + 1, used + 1, place))
+                        if at < size and labels[child] != word[at]:
+                            stack.append((child, at + 1, general + 1, used + 1, place))
+        return sorted((g, e, self.words[i], p, self.counts[i]) for i, (g, e, p) in found.items())
+
+
+def _by_first(confusions: tuple[tuple[str, str], ...]) -> dict[str, list[tuple[str, str]]]:
+    edits = defaultdict(list)
+    for read, printed in confusions:
+        edits[read[0]].append((read, printed))
+    return edits
+
+
+class Speller:
+    """Decides what words were misread, from counts and candidates."""
+
+    def __init__(self, counts: dict[str, int], total: int | None = None, told: bool = False) -> None:
+        """``counts`` of the vocabulary.  ``told``: they are those of words known to be right; candidates come by ``take`` alone."""
+        self.counts, self.told = counts, told
+        #: Of the item at hand: counts of words that ``counts`` leaves out, and the candidates of words.
         self.rare: dict[str, int] = {}
-        self.near: dict[str, list[tuple[int, str, int]]] = {}
+        self.near: dict[str, list[Candidate]] = {}
         #: From this count on a word is no mere fragment.
-        self.common = max(ANCHOR, sum(counts.values()) // 100_000)
-        self.trie: dict = {}
-        self.memo: dict[str, list[tuple[int, str, int]]] = {}
-        self.verdicts: dict[str, str | None] = {}
-        for word, n in counts.items():
-            if n >= ANCHOR and word.isalpha():
-                node = self.trie
-                for letter in word:
-                    node = node.setdefault(letter, {})
-                node[""] = word
-        self.edits = defaultdict(list)
-        for read, printed in CONFUSIONS:
-            self.edits[read[0]].append((read, printed))
-        self.known = frozenset(w for w in counts if self.original(w) is None)
+        self.common = max(ANCHOR, (sum(counts.values()) if total is None else total) // 100_000)
+        self.edits = _by_first(CONFUSIONS)
+        self.trie = None if told else Trie({w: n for w, n in counts.items() if n >= ANCHOR and w.isalpha()})
+        self.memo: dict[str, list[Candidate]] = {}
+        self.known = frozenset(counts) if told else frozenset(w for w in counts if self.original(w) is None)
 
     def take(self, facts: list[str] | None) -> None:
         """Takes what the complete table of counts says of an item's words; see ``_facts``."""
         self.rare, self.near = {}, {}
         for fact in facts if facts is not None else ():
-            word, n, near = fact.split("\t")
+            word, n, *near = fact.split("\t")
             self.rare[word] = int(n)
-            for x in near.split():
-                edits, place, count, other = x.split(",")
-                self.near.setdefault(word, []).append((int(edits), other, int(place)))
-                self.rare[other] = int(count)
-
-    def all_candidates(self, word: str) -> list[tuple[int, str, int]]:
-        """The candidates, those too rare for the broadcast table included."""
-        return self.candidates(word) + self.near[word] if word in self.near else self.candidates(word)
-
-    def candidates(self, word: str) -> list[tuple[int, str, int]]:
-        """(edits, word of the vocabulary, place of the first edit) of all words that ``word`` may be a misreading of."""
-        if word in self.memo:
-            return self.memo[word]
-        found: dict[str, tuple[int, int]] = {}
-        stack = [(self.trie, 0, 0, len(word))]
-        size = len(word)
-        while stack:
-            node, at, used, first = stack.pop()
-            if at == size:
-                if used and "" in node and used < found.get(node[""], (9, 0))[0]:
-                    found[node[""]] = (used, first)
-                continue
-            letter = word[at]
-            if letter in node:
-                stack.append((node[letter], at + 1, used, first))
-            if used < EDITS:
-                for read, printed in self.edits.get(letter, ()):
-                    if word.startswith(read, at):
-                        below = node
-                        for x in printed:
-                            below = below.get(x)
-                            if below is None:
-                                break
-                        else:
-                            stack.append((below, at + len(read), used + 1, min(first, at)))
-        out = sorted((e, w, p) for w, (e, p) in found.items())
-        if len(self.memo) < 2_000_000:
-            self.memo[word] = out
-        return out
+            for x in near:
+                general, edits, place, count, other = x.split(",")
+                self.near.setdefault(word, []).append((int(general), int(edits), other, int(place), int(count)))
+
+    def candidates(self, word: str) -> list[Candidate]:
+        """The words frequent enough that ``word`` may be a misreading of."""
+        if self.told:
+            return self.near.get(word, [])
+        if word not in self.memo:
+            n = self.count(word)
+            self.memo[word] = self.trie.search(word, lambda g, e: needed(n, word, g, e), self.edits)
+        return self.memo[word]
 
     def original(self, word: str, context: Counter | None = None) -> str | None:
         """The word that ``word`` is a misreading of, or None."""
-        if context is None and word in self.verdicts:
-            return self.verdicts[word]
         if len(word) < 2:
             return None
-        short = len(word) < 4 and not any(c in "0158@|" for c in word)
-        least = max(ANCHOR, (SHORT_RATIO if short else RATIO) * self.count(word))
-        fit = [(e, w) for e, w, _ in self.all_candidates(word) if self.count(w) >= least and not (short and e > 1)]
-        if not fit:
-            answer = None
-        else:
-            near = context or {}
-            answer = min(fit, key=lambda x: (x[0], -min(near.get(x[1], 0), 3), -self.count(x[1]), x[1]))[1]
-        if context is None:
-            self.verdicts[word] = answer
-        return answer
+        near = context or {}
+        best = min(self.candidates(word), key=lambda x: (x[0], x[1], -min(near.get(x[2], 0), 3), -x[4], x[2]), default=None)
+        return best and best[2]
 
     def place(self, word: str, printed: str) -> int:
-        return next((p for _, w, p in self.all_candidates(word) if w == printed), 0)
+        return next((x[3] for x in self.candidates(word) if x[2] == printed), 0)
 
     def count(self, word: str) -> int:
         """Occurrences in the collection."""
@@ -181,11 +254,11 @@ class Speller:
         return word in self.known or (self.count(word) >= LEAST and self.original(word) is None)
 
 
-def variants(word: str) -> dict[str, tuple[int, int]]:
-    """{what may have been printed: (edits, place of the first)} for all readings of ``word`` that ``Speller.candidates`` finds."""
+def variants(word: str, most: int = EDITS) -> dict[str, tuple[int, int]]:
+    """{what may have been printed: (edits, place of the first)} for the readings of ``word`` by up to ``most`` confusions."""
     found: dict[str, tuple[int, int]] = {}
     front = {(word, 0, -1)}
-    for edits in range(1, EDITS + 1):
+    for edits in range(1, most + 1):
         following = set()
         for text, done, first in front:
             for read, printed in CONFUSIONS:
@@ -201,6 +274,11 @@ def variants(word: str) -> dict[str, tuple[int, int]]:
     return found
 
 
+def shortened(word: str, most: int) -> set[str]:
+    """The word without up to ``most`` of its letters: words within so many edits of each other share one of these."""
+    return {"".join(x for i, x in enumerate(word) if i not in drop) for k in range(most + 1) for drop in combinations(range(len(word)), k)}
+
+
 _SKELETON = (("rn", "m"), ("nn", "m"), ("ri", "n"), ("ii", "u"), ("cl", "d"), ("vv", "w"), ("ti", "h"), ("li", "h"))
 _ONE = str.maketrans("01|5@8ciqvbf", "oll5a8elgyht".replace("5", "s").replace("8", "h"))
 
@@ -258,14 +336,14 @@ class Furniture:
         filled = [p for p in pages if p]
         times: Counter = Counter()
         for page in filled:
-            times.update({skeleton(_bare(t)) for _, t in (*page[:2], *page[-2:]) if 6 <= len(t) <= 90})
+            times.update({skeleton(_bare(t)) for _, t in (*page[:LEARNED], *page[-LEARNED:]) if RUNNING[0] <= len(t) <= RUNNING[1]})
         for line, n in times.items():
             if n >= 3 and n * 2 >= len(filled) and sum(c.isalpha() for c in line) >= 5:
                 self.seen.add(line)
 
     def is_running(self, line: str) -> bool:
         text = line.strip()
-        if not 4 <= len(text) <= 220:
+        if not RUNNING[0] <= len(text) <= RUNNING[1]:
             return False
         forms = {text}
         if text[0].isdigit() or text[0] in "ivxlOI|S—-[(":
@@ -310,7 +388,7 @@ def _roman(text: str) -> int:
 def page_number(line: str) -> int | None:
     """The number that a line consists of, if it looks like a page's number."""
     text = line.strip()
-    if not text or len(text) > 24:
+    if not text or len(text) > NUMBER:
         return None
     m = _PAGE_NO.fullmatch(text)
     if not m:
@@ -332,7 +410,7 @@ def find_furniture(pages: list[list[str]], running: Furniture) -> dict[tuple[int
     out: dict[tuple[int, int], str] = {}
     numbers: dict[int, list[tuple[int, int]]] = {}
     for p, lines in enumerate(filled):
-        edge = {i: t for i, t in (*lines[:3], *lines[-3:])}
+        edge = {i: t for i, t in (*lines[:EDGE], *lines[-EDGE:])}
         heads = {i for i, t in edge.items() if running.is_running(t)}
         rest = [i for i, _ in lines if i not in heads]
         out.update({(p, i): "header" for i in heads})
@@ -379,6 +457,14 @@ def _body(pages: list[list[str]], furniture: dict[tuple[int, int], str]) -> tupl
     return body, text, {k: text[n + 1] for n, k in enumerate(text[:-1])}
 
 
+def _broken(line: str) -> re.Match | None:
+    """The word before the mark at the line's end."""
+    start = len(line.rstrip()) - 1
+    while start > 0 and (line[start - 1].isalnum() or line[start - 1] in "_@|"):
+        start -= 1
+    return _BROKEN.search(line, start)
+
+
 def _breaks(body: list[tuple[int, int, str]], text: list[int], after: dict[int, int]) -> Iterator[tuple[int, re.Match, re.Match]]:
     """(line, its last word, first word of the next line) where a line may end inside a word."""
     for k in text:
@@ -386,7 +472,7 @@ def _breaks(body: list[tuple[int, int, str]], text: list[int], after: dict[int,
         bare = line.rstrip()
         if bare[-1] not in _HYPHENS or k not in after:
             continue
-        broken = _BROKEN.search(line, max(0, len(bare) - 60))
+        broken = _broken(line)
         if not broken:
             continue
         m = re.match(r"\s*([^\W\d_][\w@|]*|[0158@|][^\W\d_]+)", body[after[k]][2])
@@ -407,7 +493,7 @@ def asked_words(pages: list[list[str]], furniture: dict[tuple[int, int], str], c
         for line, start, end in ((body[k][2], 0, broken.start(1)), (body[after[k]][2], m.end(1), None)):
             asked.update(tokens(line[start:end]))
         following = body[after[k]][2]
-        if last := _BROKEN.search(following, max(0, len(following.rstrip()) - 60)):
+        if last := _broken(following):
             asked.update(tokens(following[m.end(1) : last.start(1)]))
     return {w for w in asked if w not in counts and not w.isdigit()}
 
@@ -519,23 +605,32 @@ def word_counts(texts: DataFrame, text: Column) -> DataFrame:
     return counted.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(counts: DataFrame) -> tuple[dict[str, int], int]:
-    """The words frequent enough for the broadcast table (at most ``VOCABULARY``) and the least count."""
+def vocabulary(counts: DataFrame) -> tuple[dict[str, int], int, int]:
+    """The words frequent enough for the broadcast table (at most ``VOCABULARY``), the least count, and the sum of theirs."""
     total = counts.agg(F.sum("n")).first()[0] or 0
     least = max(LEAST, -(-total // VOCABULARY))
     rows = counts.where(F.col("n") >= least).toPandas()
-    return dict(zip(rows["word"], rows["n"].tolist(), strict=True)), least
+    return dict(zip(rows["word"], rows["n"].tolist(), strict=True)), least, int(rows["n"].sum())
 
 
-_HELD: dict[str, Speller] = {}
+_HELD: dict[str, object] = {}
 
 
-def _speller(shared) -> Speller:
-    """The worker's speller of a broadcast table, built once."""
-    if shared.value["id"] not in _HELD:
+def _once(shared, make: Callable[[dict], object]) -> object:
+    """What ``make`` makes of a broadcast table, once in each Python worker."""
+    key = f"{shared.value['id']} {make.__name__}"
+    if key not in _HELD:
         _HELD.clear()
-        _HELD[shared.value["id"]] = Speller(shared.value["counts"])
-    return _HELD[shared.value["id"]]
+        _HELD[key] = make(shared.value)
+    return _HELD[key]
+
+
+def _trie(value: dict) -> Trie:
+    return Trie(value["counts"])
+
+
+def _told(value: dict) -> Speller:
+    return Speller(value["counts"], value["total"], told=True)
 
 
 def _item(r) -> tuple[list[list[str]], Furniture, bool]:
@@ -550,7 +645,7 @@ def _item(r) -> tuple[list[list[str]], Furniture, bool]:
 def _ask(shared):
     """(key, furniture, words, stem, seen) of each item.
 
-    Furniture is 'page,line,kind', words are those that the broadcast table leaves out, seen the learned running lines.
+    Furniture is 'page,line,kind', words are those that aren't known to be right, seen the learned running lines.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -565,34 +660,114 @@ def _ask(shared):
     return run
 
 
-def _variants(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+_FOUND = "word string, general int, edits int, place int, m long, other string"
+
+
+def _correct(shared):
+    """The candidates in the broadcast trie of each row's word, which occurs n times."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        trie, edits = _once(shared, _trie), _by_first(CONFUSIONS)
+        for batch in batches:
+            rows = []
+            for word, n in zip(batch["word"], batch["n"].tolist(), strict=True):
+                if len(word) > 1:
+                    found = trie.search(word, lambda g, e, n=n, word=word: needed(n, word, g, e), edits)
+                    rows.extend((word, g, e, p, m, other) for g, e, other, p, m in found)
+            yield pd.DataFrame(rows, columns=["word", "general", "edits", "place", "m", "other"])
+
+    return run
+
+
+#: Words with more letters are joined by their pieces, shorter ones by their readings and shortened forms, of which long words have too many.
+LONG = 24
+#: Two edits change four letters at most (a merge or split two), so of so many pieces one is left as it was, at most ``EDITS`` letters away.
+PIECES = 2 * EDITS + 1
+
+
+def _pieces(length: int) -> list[tuple[int, int]]:
+    return [(i * length // PIECES, (i + 1) * length // PIECES) for i in range(PIECES)]
+
+
+def word_signs(word: str) -> set[str]:
+    """What ``word`` shares with each word it may be a misreading of: 'c' and a reading by confusions, 'g' and a shortened form, 'p' and a piece."""
+    signs: set[str] = set()
+    if len(word) <= LONG + EDITS:
+        signs.update(f"c{v}" for v in variants(word) if v.isalpha())
+        if len(word) >= FULL:
+            signs.update(f"g{x}" for x in shortened(word, EDITS))
+            signs.update(f"g{x}" for v in variants(word, 1) for x in shortened(v, EDITS - 1))
+    for length in range(max(LONG + 1, len(word) - EDITS), len(word) + EDITS + 1):
+        for i, (start, end) in enumerate(_pieces(length)):
+            signs.update(f"p{length} {i} {word[start + d : end + d]}" for d in range(-EDITS, EDITS + 1) if start + d >= 0)
+    return signs
+
+
+def vocabulary_signs(other: str) -> set[str]:
+    """The same of a word of the vocabulary."""
+    if len(other) > LONG:
+        return {f"p{len(other)} {i} {other[start:end]}" for i, (start, end) in enumerate(_pieces(len(other)))}
+    return {f"c{other}", *(f"g{x}" for x in shortened(other, EDITS))}
+
+
+def _readings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        for start in range(0, len(batch), 500):
-            rows = [(w, v, e, p) for w in batch["word"].iloc[start : start + 500] for v, (e, p) in variants(w).items() if v.isalpha()]
-            yield pd.DataFrame(rows, columns=["word", "other", "edits", "place"])
+        for start in range(0, len(batch), 200):
+            part = batch.iloc[start : start + 200]
+            yield pd.DataFrame([(w, n, x) for w, n in zip(part["word"], part["n"], strict=True) for x in word_signs(w)], columns=["word", "n", "sign"])
 
 
-def _facts(asked: DataFrame, counts: DataFrame, least: int) -> DataFrame:
-    """(word, fact) of the words in ``asked`` that the collection holds or that may be misreadings of words below ``least``.
+def _printed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for start in range(0, len(batch), 200):
+            part = batch.iloc[start : start + 200]
+            yield pd.DataFrame([(w, m, x) for w, m in zip(part["other"], part["m"], strict=True) for x in vocabulary_signs(w)], columns=["other", "m", "sign"])
+
+
+def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The automaton over one word: whether ``other`` is a candidate for ``word``."""
+    edits = _by_first(CONFUSIONS)
+    for batch in batches:
+        rows = []
+        for word, n, other, m in zip(batch["word"], batch["n"].tolist(), batch["other"], batch["m"].tolist(), strict=True):
+            found = Trie({other: m}).search(word, lambda g, e, n=n, word=word: needed(n, word, g, e), edits)
+            rows.extend((word, g, e, p, m, other) for g, e, _, p, _ in found)
+        yield pd.DataFrame(rows, columns=["word", "general", "edits", "place", "m", "other"])
+
 
-    A fact is 'word, tab, n, tab, candidates', these as 'edits,place,n,word' with spaces between.
+def rare_candidates(words: DataFrame, counts: DataFrame, least: int) -> DataFrame:
+    """(word, general, edits, place, m, other): the candidates of ``words`` (word, n) among the words that occur less than ``least`` times.
+
+    Complete as the walk of the trie is: words within two edits of each other
+    share a reading, a shortened form or a piece, by which they are joined, and the automaton decides.
     """
-    words = asked.select("word").distinct().join(counts.where(F.col("n") < least), "word", "left").fillna(0, ["n"])
-    if least <= ANCHOR:  # the broadcast table has all candidates
-        return words.where("n > 0").select("word", F.concat_ws("\t", "word", F.col("n").cast("string"), F.lit("")).alias("fact"))
     others = counts.where((F.col("n") >= ANCHOR) & (F.col("n") < least) & F.col("word").rlike(r"^\p{L}+$")).select(F.col("word").alias("other"), F.col("n").alias("m"))
-    # An edit shortens a word by one letter at most, so longer words than this (some have thousands of letters) have no candidate here.
+    # An edit changes a word's length by one letter at most, so longer words than this (some have thousands of letters) have no candidate here.
     longest = (others.agg(F.max(F.length("other"))).first()[0] or 0) + EDITS
-    tried = words.where((F.col("n") * RATIO < least) & (F.length("word") <= longest)).select("word").mapInPandas(_variants, "word string, other string, edits int, place int")
-    near = tried.join(others, "other").groupBy("word").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(",", "edits", "place", "m", "other"))), " ").alias("near"))
-    return words.join(near, "word", "left").where("n > 0 or near is not null").select(
-        "word", F.concat_ws("\t", "word", F.col("n").cast("string"), F.coalesce("near", F.lit(""))).alias("fact")
-    )
+    able = words.where((F.col("n") * RATIO < least) & F.length("word").between(2, longest))
+    signs = able.mapInPandas(_readings, "word string, n long, sign string")
+    pairs = signs.join(others.mapInPandas(_printed, "other string, m long, sign string"), "sign").where("m >= n").select("word", "n", "other", "m").distinct()
+    return pairs.mapInPandas(_compare, _FOUND)
+
+
+def _facts(asked: DataFrame, counts: DataFrame, least: int, held: DataFrame, trie) -> DataFrame:
+    """(word, fact) of the words in ``asked`` that the collection holds or that have candidates.
+
+    ``held`` are the candidates of the words of the broadcast table.  A fact is the word, n and
+    its candidates with tabs between, these as 'general,edits,place,count,word'.
+    """
+    words = written(asked.select("word").distinct().join(counts, "word", "left").fillna(0, ["n"]))
+    rest = words.where(F.col("n") < least)
+    found = held.unionByName(rest.mapInPandas(_correct(trie), _FOUND))
+    if least > ANCHOR:  # else the broadcast table has all candidates
+        found = found.unionByName(rare_candidates(words, counts, least))
+    near = found.groupBy("word").agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws(",", "general", "edits", "place", "m", "other"))), "\t").alias("near"))
+    return words.join(near, "word", "left").where("n > 0 or near is not null").select("word", F.concat_ws("\t", "word", F.col("n").cast("string"), "near").alias("fact"))
 
 
 def _scan(shared):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        speller = _speller(shared)
+        speller = _once(shared, _told)
         for batch in batches:
             names = ["stem", "item", "findings", "caption"] if hasattr(batch, "caption") else ["stem", "findings", "paragraphs"]
             for start in range(0, len(batch), 200):
@@ -618,18 +793,26 @@ def scan_papers(papers: DataFrame, captions: DataFrame) -> tuple[DataFrame, Data
     (stem, item, caption).  Result: (stem, findings array<struct<page,line,noise>>,
     paragraphs array<string>) and (stem, item, findings array<struct<line,noise>>,
     caption).  Null pages count as empty ones; null and empty captions give no
-    row; a caption of an unknown paper is repaired without its running lines.
+    row; a caption of an unknown paper is repaired without its running lines, one of
+    a paper whose rows differ with the least title, venue and year.
     """
     spark = papers.sparkSession
     texts = papers.select(F.explode("pages").alias("text")).unionByName(captions.select(F.col("caption").alias("text")))
-    counts = cut_lineage(word_counts(texts, F.col("text")))
-    held, least = vocabulary(counts)
-    shared = spark.sparkContext.broadcast({"id": uuid.uuid4().hex, "counts": held})
-    about = papers.where("stem is not null").groupBy("stem").agg(F.first(F.struct("title", "venue", "year")).alias("m"))
+    counts = written(word_counts(texts, F.col("text")))
+    held, least, total = vocabulary(counts)
+    share = lambda words: spark.sparkContext.broadcast({"id": uuid.uuid4().hex, "counts": words, "total": total})
+    trie = share({w: n for w, n in held.items() if n >= ANCHOR and w.isalpha()})
+    # The broadcast words that may be misread themselves are asked for like rare ones; the others are known to be right.
+    doubtful = written(counts.where(F.col("n") >= least).mapInPandas(_correct(trie), _FOUND))
+    doubted = {r[0] for r in doubtful.select("word").distinct().collect()}
+    if least > ANCHOR:
+        doubted |= {r[0] for r in rare_candidates(counts.where(F.col("n") >= least), counts, least).select("word").distinct().collect()}
+    shared = share({w: n for w, n in held.items() if w not in doubted})
+    about = papers.where("stem is not null").groupBy("stem").agg(F.min(F.struct("title", "venue", "year")).alias("m"))
     pages = papers.where(F.size("pages") > 0).select("stem", "title", "venue", "year", "pages")
     # Two 64-bit hashes of the whole row.
     keyed = lambda x: x.withColumn("key", F.concat_ws(" ", F.xxhash64(*x.columns), F.xxhash64(F.lit(1), *x.columns)))
-    look = lambda x: cut_lineage(
+    look = lambda x: written(
         x.mapInPandas(_ask(shared), "key string, furniture array<string>, words array<string>, stem string, seen array<string>").dropDuplicates(["key"])
     )
     pages = keyed(pages)
@@ -639,7 +822,7 @@ def scan_papers(papers: DataFrame, captions: DataFrame) -> tuple[DataFrame, Data
     items = [pages, keyed(joined.select("stem", "item", "caption", "m.title", "m.venue", "m.year", "seen"))]
     looked.append(look(items[1]))
     asked = [x.select("key", F.explode("words").alias("word")) for x in looked]
-    facts = cut_lineage(_facts(asked[0].unionByName(asked[1]), counts, least))
+    facts = written(_facts(asked[0].unionByName(asked[1]), counts, least, doubtful, trie))
     full = []
     for x, k, a in zip(items, looked, asked, strict=True):
         told = a.join(facts, "word").groupBy("key").agg(F.collect_set("fact").alias("facts"))

@@ -253,34 +253,100 @@ def speller():
 
 @pytest.mark.parametrize(
     "read,printed",
-    [("c1ear", "clear"), ("modem", "modern"), ("rnodels", "models"), ("pictiire", "picture"), ("clistant", "distant"), ("5ignal", "signal"), ("transla|ion", None), ("rurining", "running"), ("rcsu1ts", "results"), ("clear", None), ("zzzz", None), ("o", None)],
+    [("c1ear", "clear"), ("modem", "modern"), ("rnodels", "models"), ("pictiire", "picture"), ("clistant", "distant"), ("5ignal", "signal"), ("transla|ion", "translation"), ("rurining", "running"), ("rcsu1ts", "results"), ("sgnal", "signal"), ("modxern", "modern"), ("listneers", "listeners"), ("clear", None), ("zzzz", None), ("o", None)],
 )
 def test_speller(read, printed):
     assert speller().original(read) == printed
 
 
-def brute_candidates(word, vocabulary):
-    found, front = {}, {(word, 0)}
-    for edits in range(1, scans.EDITS + 1):
+def brute_readings(word):
+    """{text: (edits that are no confusions, edits)} for all that may have been printed, over the letters of the test."""
+    letters = "clmnriudhb"
+    best, front = {}, {("", word, 0, 0)}
+    while front:
         following = set()
-        for text, done in front:
-            for read, new in scans.CONFUSIONS:
-                place = text.find(read, done)
-                while place >= 0:
-                    changed = text[:place] + new + text[place + len(read) :]
-                    following.add((changed, place + len(new)))
-                    if changed in vocabulary:
-                        found.setdefault(changed, edits)
-                    place = text.find(read, place + 1)
+        for done, rest, general, used in front:
+            if not rest and used and (general, used) < best.get(done, (9, 9)):
+                best[done] = general, used
+            if rest:
+                following.add((done + rest[0], rest[1:], general, used))
+            if used < scans.EDITS:
+                for read, printed in scans.CONFUSIONS:
+                    if rest.startswith(read):
+                        following.add((done + printed, rest[len(read) :], general, used + 1))
+                if rest:
+                    following.add((done, rest[1:], general + 1, used + 1))
+                for x in letters:
+                    following.add((done + x, rest, general + 1, used + 1))
+                    if rest and x != rest[0]:
+                        following.add((done + x, rest[1:], general + 1, used + 1))
         front = following
-    return found
+    return best
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.text("clmnriudhb015", min_size=2, max_size=9), st.lists(st.text("clmnriudhb", min_size=2, max_size=9), min_size=1, max_size=30))
-def test_candidates_are_complete(word, words):
-    s = scans.Speller({w: 100 for w in words})
-    assert {w: e for e, w, _ in s.candidates(word)} == brute_candidates(word, set(words))
+@settings(max_examples=40, deadline=None)
+@given(st.text("clmnriudhb015", min_size=2, max_size=7), st.lists(st.text("clmnriudhb", min_size=2, max_size=7), min_size=1, max_size=30), st.data())
+def test_candidates_are_complete(word, words, data):
+    for _ in range(5):  # some words within reach
+        near, place = word, data.draw(st.integers(0, len(word)))
+        words.append((near[:place] + data.draw(st.text("clmnriudhb", max_size=2)) + near[place + data.draw(st.integers(0, 2)) :]) or "c")
+    counts = {w: 100 for w in words if w.isalpha()}
+    found = scans.Trie(counts).search(word, lambda g, e: 0, scans._by_first(scans.CONFUSIONS))
+    readings = brute_readings(word)
+    assert {w: (g, e) for g, e, w, _, _ in found} == {w: readings[w] for w in counts if w in readings}
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text("abcd", min_size=1, max_size=8), st.lists(st.text("abcd", min_size=1, max_size=8), min_size=1, max_size=40))
+def test_all_words_within_two_edits(word, words):
+    found = scans.Trie({w: 100 for w in words}).search(word, lambda g, e: 0, {})
+    assert {w for _, _, w, _, _ in found} | {word} == {w for w in words if distance(word, w) <= 2} | {word}
+
+
+def test_pruned_walk_finds_what_is_frequent_enough():
+    rng = random.Random(3)
+    counts = {"".join(rng.choices("abcde", k=rng.randint(2, 8))): rng.choice([12, 30, 5000, 90_000]) for _ in range(3000)}
+    trie, edits = scans.Trie(counts), scans._by_first(scans.CONFUSIONS)
+    for word in rng.sample(sorted(counts), 60) + ["abc", "abcdeabc"]:
+        for n in (0, 1, 40):
+            need = lambda g, e: scans.needed(n, word, g, e)  # noqa: B023, E731
+            every = trie.search(word, lambda g, e: 0, edits)
+            assert {x[2] for x in trie.search(word, need, edits)} == {w for g, e, w, _, m in every if m >= need(g, e)}
+
+
+@pytest.mark.parametrize("read", "resnlts emotiou netwark sgnal netwrok emoton".split())
+def test_any_edit_is_repaired(read):
+    words = "results emotion network signal clear modern translation speech".split()
+    assert scans.Speller({w: 400 for w in words}).original(read) in words
+
+
+def test_other_edits_need_a_much_more_frequent_original():
+    counts = {"signal": 5000, "signals": 3, "signel": 2, "models": 900}
+    s = scans.Speller(counts)
+    assert [s.original(w) for w in ("signals", "signel", "siqnal")] == [None, "signal", "signal"]
+    assert scans.Speller({**counts, "signal": 3999}).original("signel") is None
+
+
+def test_rare_candidates_by_join(spark):
+    rng = random.Random(5)
+    counts = {"".join(rng.choices("abfrntm", k=rng.randint(2, 7))): rng.choice([1, 12, 40, 9000, 30_000]) for _ in range(300)}
+    long = "".join(rng.choices("abfrntm", k=27))
+    counts |= {"picture": 9000, "w" * 3000: 15, long: 9000, long[:25]: 9000, long[1:25]: 9000}
+    words = [("pictume", 1), ("picfure", 2), ("pictiire", 0), ("x" * 5000, 1), ("w" * 2999, 0), (long[:9] + long[10:20] + "q" + long[20:], 0), (long[:12] + long[13:25], 1), (long[:24], 0), ("x" + long, 2), *[(w, n) for w, n in counts.items() if n < 40]]
+    df = spark.createDataFrame(list(counts.items()), "word string, n long")
+    got = {tuple(r) for r in scans.rare_candidates(spark.createDataFrame(words, "word string, n long"), df, 10_000).collect()}
+    trie = scans.Trie({w: n for w, n in counts.items() if 12 <= n < 10_000})
+    want = {(w, g, e, p, m, o) for w, n in words for g, e, o, p, m in trie.search(w, lambda g, e: scans.needed(n, w, g, e), scans._by_first(scans.CONFUSIONS))}  # noqa: B023
+    assert got == want and ("pictume", 1, 1, 5, 9000, "picture") in got
 
 
 def test_scan_of_pages():
@@ -339,7 +405,8 @@ def test_counts_below_the_broadcast_bound(spark, monkeypatch, bound):
 
 def test_f_and_t_are_taken_for_each_other():
     s = scans.Speller({"figure": 400, "distant": 400})
-    assert [s.original(w) for w in ("tigure", "disfant", "dis7ant")] == ["figure", "distant", None]
+    assert [s.original(w) for w in ("tigure", "disfant", "dis7ant")] == ["figure", "distant", "distant"]
+    assert [x[:2] for w in ("tigure", "dis7ant") for x in s.candidates(w)] == [(0, 1), (1, 1)]
 
 
 def test_context_is_the_whole_paper():
