@@ -57,12 +57,12 @@ def embedding_topics(vectors: DataFrame, key: str, embedding: str, k: int, seed:
     return model.transform(points).select(key, "topic")
 
 
-def topic_words(docs: DataFrame, key: str, topics: DataFrame, text: Column, most: int = 10) -> DataFrame:
-    """(topic, term, score, place): class-based TF-IDF of each topic's terms, the ``most`` best."""
+def topic_words(docs: DataFrame, key: str, topics: DataFrame, text: Column, most: int = 10, stop_words: Sequence[str] = ()) -> DataFrame:
+    """(topic, term, score, place): class-based TF-IDF of each topic's terms but for ``stop_words``, the ``most`` best."""
     from pyspark.sql import Window
 
     words = docs.join(topics, key).select("topic", F.explode(F.regexp_extract_all(nfkc_lower(text), F.lit(r"[\p{L}\p{N}]{2,}"), F.lit(0))).alias("term"))
-    per_topic = words.groupBy("topic", "term").agg(F.count("*").alias("tf"))
+    per_topic = words.where(~F.col("term").isin(*stop_words)).groupBy("topic", "term").agg(F.count("*").alias("tf"))
     per_term = per_topic.groupBy("term").agg(F.sum("tf").alias("all"))
     mean = per_topic.groupBy("topic").agg(F.sum("tf").alias("n")).agg(F.avg("n")).first()[0] or 0.0
     scored = per_topic.join(per_term, "term").withColumn("score", F.col("tf") * F.log1p(F.lit(mean) / F.col("all")))

@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from litlake.operators import match, tables
-from litlake.plans import documents, packed, papers
+from litlake.plans import documents, packed, papers, storage, texts
 from litlake.sources.tables import table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**papers.QUERIES, **documents.QUERIES, **packed.QUERIES}
-ORACLES: dict[str, str] = {**papers.ORACLES, **documents.ORACLES, **packed.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**papers.QUERIES, **documents.QUERIES, **texts.QUERIES, **storage.QUERIES, **packed.QUERIES}
+ORACLES: dict[str, str] = {**papers.ORACLES, **documents.ORACLES, **texts.ORACLES, **storage.ORACLES, **packed.ORACLES}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litlake import ports
 from litlake.functions import text as t
-from litlake.operators import facets, figures, joblog, match, reports, sections, tables, topics, visuals
+from litlake.operators import facets, joblog, match, reports, sections, tables, topics, visuals
 from litlake.plans.papers import _TEXT, _squeeze, _strip
 from litlake.sources.tables import table
 from litlake.streaming import streams
@@ -82,7 +82,37 @@ def packed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir).select("doc_id", F.posexplode(sections.pack(sections.paragraphs(F.col("text")), 800)).alias("n", "chunk"))
 
 
-@query()
+_PARTED = _SECTIONS.replace("doc_id", "stem").replace("FROM documents WHERE text <> ''", "FROM (SELECT DISTINCT ON (stem) stem, full_text AS text FROM parsed_papers WHERE full_text <> '' ORDER BY stem, parsed_at)")
+_FOLD = "list_reduce(ITEMS, lambda s, x: CASE WHEN NOT x[1].f AND length(s[len(s)].p) + length(x[1].p) + 2 <= SIZE THEN list_concat(s[1:len(s) - 1], [{'p': s[len(s)].p || chr(10) || chr(10) || x[1].p, 'f': true}]) ELSE list_concat(s, x) END)"
+_ROOM = "(CASE WHEN n = 0 AND i = 1 THEN room ELSE later END)"
+_WINDOWS = (
+    """list_filter(list_transform(range(0, CAST(CASE WHEN length(p[i]) <= ROOM THEN 1 ELSE 2 + greatest(0, ceil((length(p[i]) - (ROOM - least(600, ROOM // 12)) - later) / CAST(later - least(600, later // 12) AS DOUBLE))) END AS BIGINT)), lambda k: {'p': """
+    + _strip("substr(p[i], CASE WHEN k = 0 THEN 1 ELSE (ROOM - least(600, ROOM // 12)) + (k - 1) * (later - least(600, later // 12)) + 1 END, CASE WHEN k = 0 THEN ROOM ELSE later END)")
+    + ", 'f': true}), lambda w: w.p <> '')"
+).replace("ROOM", _ROOM)
+
+
+def _chunk_sql(size: int) -> str:
+    """Paragraph lists, running sums and two folds."""
+    behind = _strip("substr(section, length(split_part(section, chr(10), 1)) + 1)")
+    return f"""WITH sec AS (SELECT stem, section_no, section FROM (SELECT stem, section_no, {_strip('string_agg(line, chr(10) ORDER BY line_no)')} AS section,
+ bool_or(heading AND regexp_replace(lower({_strip("regexp_replace(" + _strip('line') + ", '^#+', '')")}), '^[0-9]+(?:\\.[0-9]+)*\\.?\\s+', '') IN ('references', 'bibliography')) AS skipped FROM ({_PARTED}) GROUP BY stem, section_no) WHERE NOT skipped AND section <> ''),
+top AS (SELECT *, {_strip("split_part(section, chr(10), 1)")} AS top FROM sec),
+hd AS (SELECT *, CASE WHEN regexp_matches(top, '^#{{1,6}}\\s+\\S+') OR (length(top) <= 140 AND regexp_matches(top, '{_PLAIN}')) THEN top ELSE '' END AS head FROM top),
+bd AS (SELECT *, CASE WHEN head <> '' AND {behind} <> '' THEN {behind} ELSE section END AS body,
+ CASE WHEN head <> '' THEN head || chr(10) || chr(10) ELSE '' END AS lead, CASE WHEN head <> '' THEN head || chr(10) || chr(10) || '{sections.CONTINUED}' || chr(10) || chr(10) ELSE '' END AS again FROM hd),
+pr AS (SELECT *, greatest(500, {size} - length(lead)) AS room, greatest(500, {size} - length(again)) AS later, list_filter(list_transform(string_split_regex(body, '\\n\\s*\\n'), lambda x: {_strip('x')}), lambda x: x <> '') AS p FROM bd),
+rc AS (SELECT *, len(list_filter(range(1, len(p) + 1), lambda i: list_sum(list_transform(p[1:i], lambda x: length(x))) + 2 * (i - 1) <= room)) AS n FROM pr),
+it AS (SELECT *, flatten(list_transform(range(n + 1, len(p) + 1), lambda i: CASE WHEN length(p[i]) > {_ROOM} THEN {_WINDOWS} ELSE [{{'p': p[i], 'f': i = n + 1}}] END)) AS items FROM rc),
+pk AS (SELECT *, CASE WHEN len(items) = 0 THEN [] ELSE list_transform({_FOLD.replace("ITEMS", "list_transform(items, lambda x: [x])").replace("SIZE", "later")}, lambda x: x.p) END AS packed FROM it),
+ev AS (SELECT *, CASE WHEN n > 0 THEN list_concat([array_to_string(p[1:n], chr(10) || chr(10))], packed) ELSE packed END AS every FROM pk),
+pt AS (SELECT stem, section_no, CASE WHEN length(section) <= {size} THEN [section] ELSE list_transform(range(1, len(every) + 1), lambda i: {_strip("(CASE WHEN i = 1 THEN lead ELSE again END || every[i])")}) END AS parts FROM ev),
+fl AS (SELECT stem, flatten(list(parts ORDER BY section_no)) AS parts FROM pt GROUP BY stem),
+ck AS (SELECT stem, list_transform({_FOLD.replace("ITEMS", "list_transform(parts, lambda x: [{'p': x, 'f': false}])").replace("SIZE", str(size))}, lambda x: x.p) AS c FROM fl WHERE len(parts) > 0)
+SELECT stem, unnest(range(len(c))) AS n, unnest(c) AS chunk FROM ck"""
+
+
+@query(_chunk_sql(12_000))
 def section_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     papers = tables.keep_first(table(spark, sf_dir, "parsed_papers").where("full_text <> ''").select("stem", "parsed_at", "full_text"), ["stem"], "parsed_at")
     return sections.chunks(papers, "stem", "full_text")
@@ -95,12 +125,6 @@ def call_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "parsed_papers").select("stem", sections.call_plan(F.col("full_text"), F.lit("")).alias("plan")).distinct()
 
 
-@query("SELECT doc_id, sha1(text) AS summary, 1 AS parts FROM documents WHERE length(trim(text)) BETWEEN 1 AND 1000 AND NOT regexp_matches(text, '\\s$') AND NOT regexp_matches(text, '^\\s') AND NOT regexp_matches(text, '[^\\x{00}-\\x{7f}]') AND NOT regexp_matches(text, '\\n') ")
-def stub_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _documents(spark, sf_dir).where(r"length(text) <= 1000 and not text rlike '\\n|^\\s|\\s$|[^\\x00-\\x7f]'")
-    return ports.summarize(lines, "doc_id", "text", ports.HashCompleter(), 1000).select("doc_id", "summary", F.col("parts").cast("int").alias("parts"))
-
-
 @query()
 def map_reduce_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ports.summarize(_documents(spark, sf_dir), "doc_id", "text", ports.HashCompleter(), 2000)
@@ -177,7 +201,29 @@ def chinese_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _visuals(spark, sf_dir).where("caption <> ''").select("source_stem", "item_index", visuals.chinese_caption(F.col("caption")).alias("rendered")).distinct()
 
 
-@query()
+def _cut_sql(x: str, size: int) -> str:
+    q = _squeeze(x)
+    return f"CASE WHEN length({q}) <= {size} THEN {q} ELSE rtrim(substr({q}, 1, {size - 3})) || '...' END"
+
+
+def _part_sql(label: str, value: str) -> str:
+    return f" || CASE WHEN coalesce({value}, '') <> '' THEN chr(10) || '- {label}：' || {value} ELSE '' END"
+
+
+@query(
+    f"""WITH v AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_stem ORDER BY score DESC, coalesce(path,'') <> '' DESC, item_index) AS place FROM (SELECT DISTINCT *, {_VSCORE} AS score FROM visual_items)) WHERE place <= 6)
+SELECT source_stem, string_agg('### ' || CASE WHEN kind = 'table' THEN 'Table' ELSE 'Figure' END || ' ' || item_index"""
+    + _part_sql("类型", "kind")
+    + _part_sql("页码", "CASE WHEN page > 0 THEN CAST(page AS VARCHAR) ELSE '未知' END")
+    + _part_sql("Markdown 图片路径", "('`' || nullif(path, '') || '`')")
+    + _part_sql("所在章节", "section")
+    + _part_sql("Caption", "caption")
+    + _part_sql("Footnote", "footnote")
+    + _part_sql("前文上下文", f"({_cut_sql('before_text', 160)})")
+    + _part_sql("后文上下文", f"({_cut_sql('after_text', 160)})")
+    + _part_sql("表格内容摘录", f"({_cut_sql('table_body', 220)})")
+    + ", chr(10) || chr(10) ORDER BY item_index) AS context FROM v GROUP BY source_stem"
+)
 def visual_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return visuals.context_lines(_visuals(spark, sf_dir), "source_stem")
 
@@ -191,6 +237,52 @@ def visual_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return visuals.place_visuals(items, summaries, "source_stem", "summary").select("source_stem", "item_index", "heading", "heading_score")
 
 
+_BLOCKS = """SELECT source_stem AS doc, b.* FROM (SELECT DISTINCT source_stem, item_index, kind, page, path, caption, section, before_text, after_text, table_body FROM visual_items) AS v,
+ LATERAL (SELECT item_index * 4 AS pos, 'text' AS type, section AS text, true AS head, CAST(NULL AS INTEGER) AS page_idx, CAST(NULL AS VARCHAR) AS path, CAST(NULL AS VARCHAR) AS caption, CAST(NULL AS VARCHAR) AS table_body
+  UNION ALL SELECT item_index * 4 + 1, 'text', before_text, false, NULL, NULL, NULL, NULL
+  UNION ALL SELECT item_index * 4 + 2, CASE WHEN kind = 'table' THEN 'table' ELSE 'image' END, NULL, false, CASE WHEN page > 0 THEN page - 1 END, v.path, v.caption, v.table_body
+  UNION ALL SELECT item_index * 4 + 3, 'text', after_text, false, NULL, NULL, NULL, NULL) AS b"""
+_HTML = "regexp_replace(regexp_replace(regexp_replace(coalesce(table_body, ''), '(?i)<\\s*/\\s*(tr|p|div|table)\\s*>', chr(10), 'g'), '(?i)<\\s*/\\s*(td|th)\\s*>', ' | ', 'g'), '<[^>]+>', ' ', 'g')"
+
+
+def _entities(x: str) -> str:
+    for safe, raw in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+        x = f"replace({x}, '{safe}', '{raw}')"
+    return x
+
+
+@query(
+    f"""WITH c AS (SELECT *, {_squeeze(_entities("coalesce(text, '')"))} AS t FROM ({_BLOCKS})),
+d AS (SELECT *, CASE WHEN type = 'text' AND (head OR regexp_matches(t, '^[0-9]+(?:\\.[0-9]+)*\\s+\\S+')) THEN t END AS h, CASE WHEN type = 'text' AND length(t) >= 30 THEN t END AS f FROM c),
+w AS (SELECT *, coalesce(last_value(h IGNORE NULLS) OVER (PARTITION BY doc ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS section,
+ coalesce(array_to_string((list(f) FILTER (f IS NOT NULL) OVER (PARTITION BY doc ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))[-3:], ' '), '') AS before_text,
+ coalesce(array_to_string((list(f) FILTER (f IS NOT NULL) OVER (PARTITION BY doc ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))[1:3], ' '), '') AS after_text FROM d),
+v AS (SELECT doc, pos, type, coalesce(page_idx + 1, 0) AS page, path, {_squeeze(_entities("coalesce(caption, '')"))} AS caption, CASE WHEN type = 'table' THEN {_cut_sql(_squeeze(_entities(_HTML)), 1200)} ELSE '' END AS table_body, section, before_text, after_text FROM w WHERE type <> 'text'),
+k AS (SELECT * FROM v WHERE coalesce(path, '') <> '' OR caption <> '' OR table_body <> ''),
+o AS (SELECT * FROM k QUALIFY coalesce(path, '') = '' OR row_number() OVER (PARTITION BY doc, lower(path) ORDER BY pos) = 1)
+SELECT doc, CAST(row_number() OVER (PARTITION BY doc ORDER BY pos) AS INTEGER) AS item_index, type, page, path, caption, table_body, section, before_text, after_text FROM o"""
+)
+def extracted_visuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visual items of block lists in which each item stands under its section, between the texts before and after it."""
+    items = _visuals(spark, sf_dir).select("source_stem", "item_index", "kind", "page", "path", "caption", "section", "before_text", "after_text", "table_body").distinct()
+    none = F.lit(None).cast("string")
+
+    def block(place: int, kind: Column, text: Column, level: int | None, page: Column, path: Column, caption: Column, body: Column) -> Column:
+        return F.struct(
+            (F.col("item_index") * 4 + place).alias("pos"), kind.alias("type"), text.alias("text"), F.lit(level).cast("int").alias("text_level"), page.cast("int").alias("page_idx"),
+            path.alias("path"), caption.alias("caption"), body.alias("table_body"),
+        )
+
+    def text(place: int, value: Column, level: int | None = None) -> Column:
+        return block(place, F.lit("text"), value, level, F.lit(None), none, none, none)
+
+    kind = F.when(F.col("kind") == "table", "table").otherwise("image")
+    visual = block(2, kind, none, None, F.when(F.col("page") > 0, F.col("page") - 1), F.col("path"), F.col("caption"), F.col("table_body"))
+    parts = F.array(text(0, F.col("section"), 1), text(1, F.col("before_text")), visual, text(3, F.col("after_text")))
+    blocks = items.select(F.col("source_stem").alias("doc"), F.inline(parts))
+    return visuals.extract_visuals(blocks, "doc").select("doc", "item_index", "type", "page", "path", "caption", "table_body", "section", "before_text", "after_text")
+
+
 @query("SELECT source_stem, lower(path) AS file, min(item_index) AS first_index, count(*) AS n FROM (SELECT DISTINCT source_stem, item_index, path FROM visual_items WHERE path <> '') GROUP BY 1, 2")
 def visual_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = _visuals(spark, sf_dir).where("path <> ''").select("source_stem", "item_index", "path").distinct()
@@ -207,19 +299,18 @@ def asset_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.resolve_assets(refs, files).select("doc", "ref", "path")
 
 
-@query()
+@query(
+    f"""WITH n AS (SELECT DISTINCT source_stem, item_index, regexp_extract(path, '([^/\\\\]*)$', 1) AS name FROM visual_items WHERE path <> ''),
+s AS (SELECT *, CASE WHEN contains(name, '.') THEN regexp_replace(name, '\\.[^.]*$', '') ELSE name END AS stem, CASE WHEN contains(name, '.') THEN lower(regexp_extract(name, '(\\.[^.]*)$', 1)) ELSE '' END AS suffix FROM n),
+b AS (SELECT *, coalesce(nullif(trim(substr(trim(regexp_replace(lower(trim(stem)), '[^A-Za-z0-9]+', '-', 'g'), '-'), 1, 80), '-'), ''), 'image') AS base FROM s),
+r AS (SELECT *, row_number() OVER (PARTITION BY source_stem, base, suffix ORDER BY item_index) AS k FROM b)
+SELECT source_stem, item_index, name, base || CASE WHEN k > 1 THEN '-' || k ELSE '' END || suffix AS unique_name FROM r"""
+)
 def image_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = _visuals(spark, sf_dir).where("path <> ''").select("source_stem", "item_index", t.base_name(F.col("path")).alias("name")).distinct()
     return tables.unique_names(items, "name", "item_index", "source_stem")
 
 
-@query()
-def figure_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    captions = _visuals(spark, sf_dir).where("caption <> ''").select("source_stem", "item_index", "caption").distinct()
-    texts = captions.groupBy("source_stem").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_index", "caption"))), lambda x: x["caption"]), "\n\n").alias("text"))
-    return figures.figure_labels(texts, "source_stem", "text")
-
-
 # ---- reports -----------------------------------------------------------------------------------------
 
 
@@ -359,18 +450,16 @@ def manifest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- topics ------------------------------------------------------------------------------------------
 
+_STOPPED = ", ".join(f"'{w}'" for w in topics.STOP_WORDS)
+# NFKC, which DuckDB lacks: what NFC leaves of it in these texts is one Thai vowel sign.
+_TERM = r"regexp_extract_all(lower(nfc_normalize(replace({x}, chr(3635), chr(3661) || chr(3634)))), '[\p{{L}}\p{{N}}]{{2,}}')"
+
 
 @query(
-    """WITH d AS (SELECT doc_id, lower(text) AS x FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^\\x{00}-\\x{7f}]')), n AS (SELECT count(*) AS n FROM d), w AS (SELECT doc_id, unnest(regexp_extract_all(x, '[a-z0-9]{2,}')) AS term FROM d)
-SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df, ln((1.0 + n) / (1.0 + count(DISTINCT doc_id))) + 1 AS idf FROM w, n GROUP BY term, n HAVING count(DISTINCT doc_id) >= 5 AND count(DISTINCT doc_id) <= 0.9 * n"""
+    f"""WITH d AS (SELECT doc_id, text FROM documents WHERE text <> ''), n AS (SELECT count(*) AS n FROM d), w AS (SELECT doc_id, unnest({_TERM.format(x='text')}) AS term FROM d)
+SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df, ln((1.0 + n) / (1.0 + count(DISTINCT doc_id))) + 1 AS idf FROM w, n WHERE term NOT IN ({_STOPPED}) GROUP BY term, n HAVING count(DISTINCT doc_id) >= 5 AND count(DISTINCT doc_id) <= 0.9 * n"""
 )
 def term_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where(r"lang = 'en' and not text rlike '[^\\x00-\\x7f]'")
-    return topics.term_statistics(docs, "doc_id", F.col("text"))
-
-
-@query()
-def term_statistics_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms of all documents with text, of whatever language, but for English stop words."""
     return topics.term_statistics(_documents(spark, sf_dir), "doc_id", F.col("text"), stop_words=topics.STOP_WORDS)
 
@@ -380,8 +469,14 @@ def embedding_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topics.embedding_topics(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 8)
 
 
-@query()
+@query(
+    f"""WITH w AS (SELECT source_file AS topic, unnest({_TERM.format(x="coalesce(title,'') || '. ' || coalesce(abstract,'')")}) AS term FROM all_papers WHERE source_file IS NOT NULL),
+c AS (SELECT topic, term, count(*) AS tf FROM w WHERE term NOT IN ({_STOPPED}) GROUP BY ALL), a AS (SELECT term, sum(tf) AS every FROM c GROUP BY term), m AS (SELECT avg(n) AS mean FROM (SELECT sum(tf) AS n FROM c GROUP BY topic)),
+s AS (SELECT topic, term, tf * ln(1 + mean / every) AS score FROM c JOIN a USING (term), m)
+SELECT topic, term, score, place FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY score DESC, term) AS place FROM s) WHERE place <= 10"""
+)
 def topic_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    papers = table(spark, sf_dir, "all_papers")
-    kinds = papers.select("pos", F.pmod(F.xxhash64("source_file"), F.lit(8)).alias("topic"))
-    return topics.topic_words(papers.select("pos", "title", "abstract"), "pos", kinds, topics.topic_text(F.col("title"), F.col("abstract")))
+    """The words that set each source file's papers apart: a known grouping, so that the result can be checked."""
+    papers = table(spark, sf_dir, "all_papers").where("source_file is not null")
+    kinds = papers.select("pos", F.col("source_file").alias("topic"))
+    return topics.topic_words(papers.select("pos", "title", "abstract"), "pos", kinds, topics.topic_text(F.col("title"), F.col("abstract")), stop_words=topics.STOP_WORDS)

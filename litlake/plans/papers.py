@@ -258,12 +258,6 @@ def safe_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "parsed_papers").select("stem", t.safe_stem(F.col("stem")).alias("safe")).distinct()
 
 
-@query()
-def upload_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stems = table(spark, sf_dir, "parsed_papers").select(t.base_name(F.col("pdf_path")).alias("name")).distinct()
-    return stems.select("name", t.upload_name(F.col("name"), 60).alias("upload"))
-
-
 @query(
     "SELECT pos, CASE WHEN contains(url, '/forum?id=') OR contains(url, 'openreview.net/forum') THEN replace(url, 'forum', 'pdf') ELSE replace(url, '/article/view/', '/article/download/') END AS pdf, "
     "regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)', 1) AS host, regexp_replace(url, '[?#].*$', '') AS bare FROM all_papers WHERE url IS NOT NULL AND url <> ''"
@@ -357,15 +351,9 @@ def normal_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "SELECT doc_id, u.i - 1 AS n, u.s AS sentence FROM (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '[^。！？!?；;]+[。！？!?；;]?'), lambda x: "
     + _strip("x")
-    + "), lambda x: x <> '') AS l FROM documents WHERE lang = 'zh' AND text IS NOT NULL), unnest(list_zip(range(1, len(l) + 1), l)) AS z(u0), (SELECT u0[1] AS i, u0[2] AS s) AS u"
+    + "), lambda x: x <> '') AS l FROM documents WHERE text IS NOT NULL), unnest(list_zip(range(1, len(l) + 1), l)) AS z(u0), (SELECT u0[1] AS i, u0[2] AS s) AS u"
 )
 def simple_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("lang = 'zh' and text is not null")
-    return docs.select("doc_id", F.posexplode(t.simple_sentences(F.col("text"))).alias("n", "sentence"))
-
-
-@query()
-def simple_sentences_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences of all texts, whatever their language or its tag."""
     docs = table(spark, sf_dir, "documents").where("text is not null")
     return docs.select("doc_id", F.posexplode(t.simple_sentences(F.col("text"))).alias("n", "sentence"))

@@ -58,14 +58,17 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: like ``cut_lineage``, but compressed, and readers take only the columns they need.
-
-    The table is deleted when the driver's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{checkpoint_folder(spark)}/table-{uuid.uuid4().hex}"
+def scratch(spark: SparkSession, suffix: str = "") -> str:
+    """A new path in the shared folder; what is there is deleted when the driver's JVM ends."""
+    path = f"{checkpoint_folder(spark)}/table-{uuid.uuid4().hex}{suffix}"
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: like ``cut_lineage``, but compressed, and readers take only the columns they need."""
+    spark = df.sparkSession
+    path = scratch(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

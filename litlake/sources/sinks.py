@@ -13,9 +13,11 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
         writer = writer.partitionBy(*partition_by)
     suffix = path.rstrip("/").rsplit(".", 1)[-1].lower()
     if suffix == "csv":
+        # Blanks at a cell's ends are data, and an empty cell is told from a missing one by its quotes.
+        writer = writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
         writer.option("header", True).option("escape", '"').csv(path)
     elif suffix == "json":
-        writer.json(path)
+        writer.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(path)
     else:
         writer.parquet(path)
 

@@ -18,6 +18,6 @@ def test_simple_sentences_of_all_documents(spark):
     for doc, _, text in texts():
         parts = [p for x in re.findall("[^。！？!?；;]+[。！？!?；;]?", text) if (p := x.strip())]
         want |= {(doc, n, p) for n, p in enumerate(parts)}
-    got = [(r["doc_id"], r["n"], r["sentence"]) for r in papers.simple_sentences_all(spark, FOLDER).collect()]
+    got = [(r["doc_id"], r["n"], r["sentence"]) for r in papers.simple_sentences(spark, FOLDER).collect()]
     assert len(got) == len(want) and set(got) == want
     assert {d for d, lang, _ in texts() if lang != "zh"} & {d for d, _, _ in got}

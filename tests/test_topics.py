@@ -25,6 +25,6 @@ def test_term_statistics_of_all_documents(spark):
         df.update(set(words))
     n = len(texts)
     want = {w: (tf[w], df[w], pytest.approx(math.log((1 + n) / (1 + df[w])) + 1)) for w in df if 5 <= df[w] <= 0.9 * n}
-    got = {r["term"]: (r["tf"], r["df"], r["idf"]) for r in documents.term_statistics_all(spark, FOLDER).collect()}
+    got = {r["term"]: (r["tf"], r["df"], r["idf"]) for r in documents.term_statistics(spark, FOLDER).collect()}
     assert got == want
     assert any(not w.isascii() for w in got) and "the" not in got
