@@ -45,6 +45,19 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_oversized(_items(spark, sf_dir), ["stem", "page_no"]).dropDuplicates(["stem", "page_no", "piece_no"])
 
 
+def p1_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each item over its limit put together again from its pieces without their overlaps: its length and digest, and whether all pieces keep to limit and overlap."""
+    items = _items(spark, sf_dir).withColumn("limit", F.col("max_size")).withColumn("repeated", F.col("overlap"))
+    pieces = splitting.split_oversized(items, ["stem", "page_no", "limit", "repeated"]).dropDuplicates(["stem", "page_no", "piece_no"])
+    new = F.when(F.col("piece_no") == 1, F.col("piece")).otherwise(F.substring("piece", F.col("repeated").cast("int") + 1, F.length("piece")))
+    rows = pieces.groupBy("stem", "page_no").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece_no", new.alias("new")))), lambda x: x["new"]), "").alias("whole"),
+        F.bool_and((F.length("piece") <= F.col("limit")) & (F.length("piece") == F.col("end") - F.col("start"))).alias("kept"),
+        (F.count("*") == F.max("pieces")).alias("complete"),
+    )
+    return rows.select("stem", "page_no", F.length("whole").alias("chars"), F.md5("whole").alias("digest"), "kept", "complete")
+
+
 def _keyword_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     papers = first_rows(table(spark, sf_dir, "all_papers"), "paper_id", "pos", ["keywords"])
     return papers.select("paper_id", split_packed(F.col("keywords")).alias("items"))
@@ -57,11 +70,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per paper with at least 3 keywords: its class of equal sets, the class's size and its number of similar classes."""
+    """One row per paper with at least 3 keywords: its class of equal sets, named by the lowest paper, the class's size and its number of similar classes."""
     members, links = setjoin.similar_sets(_keyword_sets(spark, sf_dir), "paper_id", "items", 0.6, 3)
     ends = links.select(F.explode(F.array("cls_a", "cls_b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("links"))
-    sizes = members.groupBy("cls").agg(F.count("*").alias("class_size"))
-    return members.join(sizes, "cls").join(ends, "cls", "left").fillna(0, ["links"])
+    sizes = members.groupBy("cls").agg(F.count("*").alias("class_size"), F.min("paper_id").alias("class"))
+    return members.join(sizes, "cls").join(ends, "cls", "left").fillna(0, ["links"]).drop("cls")
 
 
 def _terms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
@@ -138,16 +151,22 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per paper with title and abstract: the group of near-duplicates it is in, named by its lowest class."""
+    """One row per paper with title and abstract: its class of equal word sets and its group of near-duplicates, each named by its lowest paper."""
     members, links = neardup.near_duplicates(_abstracts(spark, sf_dir), 0.7)
-    nodes = members.select(F.col("cls").alias("node")).distinct()
-    groups = connected_groups(nodes, links.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")))
-    return members.join(groups, members["cls"] == groups["node"]).select(F.col("key").alias("paper_id"), "cls", "grp")
+    firsts = members.groupBy("cls").agg(F.min("key").alias("first"))
+    a = links.join(firsts.select(F.col("cls").alias("cls_a"), F.col("first").alias("a")), "cls_a")
+    edges = a.join(firsts.select(F.col("cls").alias("cls_b"), F.col("first").alias("b")), "cls_b").select("a", "b")
+    groups = connected_groups(firsts.select(F.col("first").alias("node")), edges)
+    return members.join(firsts, "cls").join(groups, F.col("first") == F.col("node")).select(F.col("key").alias("paper_id"), F.col("first").alias("class"), "grp")
 
 
 def p6_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The links between classes of equal word sets, with their similarity: with the classes in ``p6_groups`` all pairs, unexpanded."""
-    return neardup.near_duplicates(_abstracts(spark, sf_dir), 0.7)[1]
+    """The links between classes of equal word sets, named as in ``p6_groups``, with their similarity: with the members there all pairs, unexpanded."""
+    members, links = neardup.near_duplicates(_abstracts(spark, sf_dir), 0.7)
+    firsts = members.groupBy("cls").agg(F.min("key").alias("first"))
+    a = links.join(firsts.select(F.col("cls").alias("cls_a"), F.col("first").alias("x")), "cls_a")
+    both = a.join(firsts.select(F.col("cls").alias("cls_b"), F.col("first").alias("y")), "cls_b")
+    return both.select(F.least("x", "y").alias("class_a"), F.greatest("x", "y").alias("class_b"), F.round("similarity", 6).alias("similarity"))
 
 
 def _capacity(spark: SparkSession, sf_dir: str) -> int:
@@ -189,6 +208,6 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_pieces, p3_found, p3_links, p4_found, p4_terms, p5_found, p5_paragraphs, p5_captions, p6_found, p6_groups, p6_links, p7_containers, p7_fill, p8_mix, p8_shares, p9_found)
+    for f in (p1_found, p1_pieces, p1_round_trip, p3_found, p3_links, p4_found, p4_terms, p5_found, p5_paragraphs, p5_captions, p6_found, p6_groups, p6_links, p7_containers, p7_fill, p8_mix, p8_shares, p9_found)
 }
 ORACLES: dict[str, str] = sql.ORACLES
