@@ -2,9 +2,10 @@
 
 Method: balanced targets.  From the smallest number of pieces that can hold the
 text, targets of equal length are placed; each cut is snapped to the strongest
-boundary near its target (paragraph, sentence, line, word); when some cut can't
-keep to the limits at a boundary, a piece is added and all targets are placed
-anew.  Every piece but the first starts exactly ``overlap`` characters before
+boundary near its target (paragraph, sentence, line, word; sentences are those of
+problem 9's transducer); when some cut can't
+keep to the limits at a boundary, pieces are added and all targets are placed
+anew, up to twice the smallest number.  Every piece but the first starts exactly ``overlap`` characters before
 the end of the one before, so the pieces give the text back without loss.
 
 Only texts over their limit leave the JVM; sizes are code points.
@@ -14,24 +15,24 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from litlake.llm.sentences import sentence_ends
+
 #: A paragraph: lines that hold more than spaces, without a blank line between them.
 _PARAGRAPH = re.compile(r"(?:^ *[^\n ][^\n]*(?:\n|\Z))+", re.M)
 #: Boundaries, strongest first; a cut stands at the end of the match.
 _BOUNDARIES = (
     ("paragraph", re.compile(r"\n(?: *\n)+")),
-    ("sentence", re.compile(r"(?:[.!?…]+[\"'”’)\]»]*\s+)|(?:[。！？…]+[”』」）》]*)")),
+    ("sentence", None),
     ("line", re.compile(r"\n+")),
     ("word", re.compile(r"\s+|(?<=[，、；：,;:])")),
 )
-#: Pieces added at most in search of better cuts before a text without boundaries is cut between characters.
-_MORE = 3
 
 
 def paragraphs(text: str) -> list[tuple[int, int]]:
@@ -39,18 +40,39 @@ def paragraphs(text: str) -> list[tuple[int, int]]:
     return [(m.start(), m.end() - (text[m.end() - 1] == "\n")) for m in _PARAGRAPH.finditer(text)]
 
 
-def _snap(text: str, low: int, high: int, target: int) -> tuple[int, str] | None:
+def _sentences(text: str) -> list[int]:
+    """Where sentences begin that follow another, in order."""
+    starts = []
+    for end in sentence_ends(text):
+        while end < len(text) and text[end].isspace():
+            end += 1
+        starts.append(end)
+    return starts
+
+
+def _added(least: int) -> Iterator[int]:
+    """Numbers of pieces to add: one by one at first, then doubled, up to ``least``."""
+    more = 0
+    while more <= max(least, 3):
+        yield more
+        more = more + 1 if more < 4 else 2 * more
+
+
+def _snap(text: str, stops: list[int], low: int, high: int, target: int) -> tuple[int, str] | None:
     """The strongest boundary in [low, high], the nearest to ``target`` of its kind; near the target first, then anywhere allowed."""
     near = max(1, min(target - low, high - target, (high - low) // 3))
     for first, last in ((max(low, target - near), min(high, target + near)), (low, high)):
         for kind, pattern in _BOUNDARIES:
-            ends = [m.end() for m in pattern.finditer(text, max(0, first - 1), last) if first <= m.end() <= last]
+            if pattern is None:
+                ends = stops[bisect_left(stops, first) : bisect_right(stops, last)]
+            else:
+                ends = [m.end() for m in pattern.finditer(text, max(0, first - 1), last) if first <= m.end() <= last]
             if ends:
                 return min(ends, key=lambda e: (abs(e - target), e)), kind
     return None
 
 
-def _try(text: str, limit: int, overlap: int, count: int, hard: bool) -> list[tuple[int, int, str]] | None:
+def _try(text: str, stops: list[int], limit: int, overlap: int, count: int, hard: bool) -> list[tuple[int, int, str]] | None:
     size, pieces, start = len(text), [], 0
     for i in range(count - 1):
         target = overlap + round((size - overlap) * (i + 1) / count)
@@ -59,7 +81,7 @@ def _try(text: str, limit: int, overlap: int, count: int, hard: bool) -> list[tu
         if low > high:
             return None
         target = min(max(target, low), high)
-        cut = _snap(text, low, high, target)
+        cut = _snap(text, stops, low, high, target)
         if cut is None:
             if not hard:
                 return None
@@ -82,12 +104,11 @@ def split_text(text: str, limit: int, overlap: int) -> list[tuple[int, int, str]
     if len(text) <= limit:
         return [(0, len(text), "end")] if text else []
     least = -(-(len(text) - overlap) // (limit - overlap))
-    for more in range(_MORE + 1):
-        if pieces := _try(text, limit, overlap, least + more, hard=False):
-            return pieces
-    for more in range(_MORE + 1):
-        if pieces := _try(text, limit, overlap, least + more, hard=True):
-            return pieces
+    stops = _sentences(text)
+    for hard in (False, True):
+        for more in _added(least):
+            if pieces := _try(text, stops, limit, overlap, least + more, hard):
+                return pieces
     raise AssertionError("unreachable: equal pieces always keep to the limit")
 
 

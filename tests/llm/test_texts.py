@@ -32,6 +32,18 @@ def test_split_prefers_strong_boundaries():
         splitting.split_text("a", 5, 5)
 
 
+def test_split_at_sentences_not_at_abbreviations():
+    text = "It was shown by Smith et al. (see Fig. 3 and Eq. 4) that it holds. " * 40
+    cuts = [e for limit in (300, 350, 420) for _, e, k in splitting.split_text(text, limit, 20) if k == "sentence"]
+    assert len(cuts) > 10 and all(text[:e].endswith("holds. ") for e in cuts)
+
+
+def test_split_adds_pieces_while_a_boundary_exists():
+    text = ("x" * 52 + " ") * 40  # a piece of 100 holds one word only
+    kinds = [k for _, _, k in splitting.split_text(text, 100, 0)[:-1]]
+    assert set(kinds) == {"word"} and len(kinds) + 1 > len(text) / 100 + 4
+
+
 def test_split_balances():
     sizes = [e - s for s, e, _ in splitting.split_text("word " * 1000, 2000, 100)]
     assert max(sizes) - min(sizes) < 60
