@@ -90,7 +90,7 @@ def _terms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
             )
         ).alias("x"),
     )
-    counts = termcounts.term_counts(both.select("record", "x.field", "x.terms"))
+    counts = termcounts.term_counts(both.select("record", "x.field", "x.terms"), partitioned=True)
     return counts, total
 
 

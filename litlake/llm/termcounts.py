@@ -60,18 +60,19 @@ def _last_seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out()
 
 
-def term_counts(terms: DataFrame) -> DataFrame:
+def term_counts(terms: DataFrame, partitioned: bool = False) -> DataFrame:
     """(field, term, occurrences, records) of ``terms``: (record, field, terms array), one row per record and field.
 
     Null records, null or empty arrays and null terms count nothing; a term that
     a record repeats counts each time as an occurrence and once as a record.
+    ``partitioned``: all rows of a record are in one partition already, as after an
+    aggregation by record, so they needn't be shuffled again.
     """
     ready = (
         terms.where(F.col("record").isNotNull() & (F.size("terms") > 0))
         .select("record", "field", F.filter("terms", lambda t: t.isNotNull()).alias("terms"))
-        .repartition("record")
-        .sortWithinPartitions("record", "field")
     )
+    ready = (ready if partitioned else ready.repartition("record")).sortWithinPartitions("record", "field")
     counted = ready.mapInPandas(_last_seen, "field string, term string, occurrences long, records long")
     return counted.groupBy("field", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
 
