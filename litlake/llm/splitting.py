@@ -5,7 +5,8 @@ text, targets of equal length are placed; each cut is snapped to the strongest
 boundary near its target (paragraph, sentence, line, word; sentences are those of
 problem 9's transducer); when some cut can't
 keep to the limits at a boundary, pieces are added and all targets are placed
-anew, up to twice the smallest number.  Every piece but the first starts exactly ``overlap`` characters before
+anew.  If that fails ``ADDED`` times, the cuts that reach as far as boundaries allow
+are taken; only where there is no boundary at all within a limit is a text cut between characters.  Every piece but the first starts exactly ``overlap`` characters before
 the end of the one before, so the pieces give the text back without loss.
 
 Only texts over their limit leave the JVM; sizes are code points.
@@ -33,6 +34,8 @@ _BOUNDARIES = (
     ("line", re.compile(r"\n+")),
     ("word", re.compile(r"\s+|(?<=[，、；：,;:])")),
 )
+#: Pieces added one by one while targets are balanced.
+ADDED = 3
 
 
 def paragraphs(text: str) -> list[tuple[int, int]]:
@@ -50,12 +53,19 @@ def _sentences(text: str) -> list[int]:
     return starts
 
 
-def _added(least: int) -> Iterator[int]:
-    """Numbers of pieces to add: one by one at first, then doubled, up to ``least``."""
-    more = 0
-    while more <= max(least, 3):
-        yield more
-        more = more + 1 if more < 4 else 2 * more
+def _farthest(text: str, stops: list[int], limit: int, overlap: int) -> list[tuple[int, int, str]] | None:
+    """Pieces that each reach to the last boundary within the limit; None if there is a piece without one."""
+    kinds: dict[int, str] = {}
+    for kind, pattern in reversed(_BOUNDARIES):
+        kinds.update(dict.fromkeys(stops if pattern is None else (m.end() for m in pattern.finditer(text)), kind))
+    places, pieces, start = sorted(kinds), [], 0
+    while len(text) - start > limit:
+        i = bisect_right(places, start + limit) - 1
+        if i < 0 or places[i] <= start + overlap:
+            return None
+        pieces.append((start, places[i], kinds[places[i]]))
+        start = places[i] - overlap
+    return [*pieces, (start, len(text), "end")]
 
 
 def _snap(text: str, stops: list[int], low: int, high: int, target: int) -> tuple[int, str] | None:
@@ -105,10 +115,14 @@ def split_text(text: str, limit: int, overlap: int) -> list[tuple[int, int, str]
         return [(0, len(text), "end")] if text else []
     least = -(-(len(text) - overlap) // (limit - overlap))
     stops = _sentences(text)
-    for hard in (False, True):
-        for more in _added(least):
-            if pieces := _try(text, stops, limit, overlap, least + more, hard):
-                return pieces
+    for more in range(ADDED + 1):
+        if pieces := _try(text, stops, limit, overlap, least + more, hard=False):
+            return pieces
+    if pieces := _farthest(text, stops, limit, overlap):
+        return pieces
+    for more in range(ADDED + 1):
+        if pieces := _try(text, stops, limit, overlap, least + more, hard=True):
+            return pieces
     raise AssertionError("unreachable: equal pieces always keep to the limit")
 
 
