@@ -27,6 +27,28 @@ def log_tail(log: DataFrame, keep: int = RING) -> DataFrame:
     return ranked.where(F.col("place") <= keep).drop("__salt", "__n")
 
 
+def job_states(events: DataFrame, key: str, order: list[str], event: str, total: str) -> DataFrame:
+    """``events`` with the state of the job after each: ``current_index``, ``completed``, ``failed_files``, ``status`` and ``exit_code``.
+
+    Events are start, error, exit0, exit1 (a file's process began, couldn't be
+    run, or ended) and cancel; others change nothing.  An error counts as a failed file in addition to the end of its process.
+    A job is queued before its first start, running until all files have ended, then failed if any
+    file failed, else completed; a cancelled one stays cancelled.
+    """
+    so_far = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    name = F.col(event)
+    count = lambda *names: F.count(F.when(name.isin(*names), 1)).over(so_far)
+    ended, failed = count("exit0", "exit1"), count("exit1", "error")
+    status = (
+        F.when(count("cancel") > 0, "canceled")
+        .when((ended >= F.col(total)), F.when(failed > 0, "failed").otherwise("completed"))
+        .when(count("start") > 0, "running")
+        .otherwise("queued")
+    )
+    rows = events.withColumns({"current_index": ended.cast("int"), "completed": count("exit0").cast("int"), "failed_files": failed.cast("int"), "status": status})
+    return rows.withColumn("exit_code", F.when(F.col("status") == "failed", 1).when(F.col("status") == "completed", 0))
+
+
 def job_progress(events: DataFrame, key: str, order: list[str], settled: str, phase: str, total: str) -> DataFrame:
     """Progress in per cent after each event: settled items and the running one's phase weight over the total, never falling, at most 99 before the end."""
     # Weight of each phase of a running item.

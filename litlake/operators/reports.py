@@ -91,7 +91,7 @@ def format_tag(column: Column) -> Column:
             F.when(F.lower(w) == "lora", "LoRA")
             .when(F.lower(w).isin(*ACRONYMS), F.upper(w))
             .when((F.length(w) > 1) & w.rlike(r"\p{Lu}") & ~w.rlike(r"\p{Ll}"), w)
-            .otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 10_000))))
+            .otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, F.lit(2), F.length(w)))))
         )
 
     return F.array_join(F.transform(words, word), " ")

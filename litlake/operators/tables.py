@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from litlake.functions.text import base_name, is_blank
+from litlake.session import written
 
 # Status columns and their defaults.
 STATUS_DEFAULTS = {
@@ -38,13 +39,27 @@ def keep_first(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return picked.select("__row.*")
 
 
+def numbered(df: DataFrame, order: list[str], out: str) -> DataFrame:
+    """``df`` with the place of each row from 1 in the order of all rows; ``order`` should be unique.
+
+    The rows are range-partitioned and numbered within their partitions; only the
+    partitions' sizes, one row each, are added up in one place.
+    """
+    parts = written(df.orderBy(*order).withColumn("__part", F.spark_partition_id()))
+    sizes = parts.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("__part", before.alias("__before"))
+    within = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return parts.withColumn("__within", within).join(F.broadcast(starts), "__part").withColumn(out, F.col("__before") + F.col("__within")).select(*df.columns, out)
+
+
 def first_seen_order(df: DataFrame, key: str, order: str, place: str = "group_order") -> DataFrame:
     """Each row with the place of its group among the groups in order of first appearance, from 1.
 
-    The groups' first places are aggregated, ranked (as many rows as groups) and joined back.
+    The groups' first places are aggregated, numbered and joined back.
     """
     firsts = df.groupBy(F.col(f"`{key}`").alias("__g")).agg(F.min(order).alias("__first"))
-    ranked = firsts.withColumn(place, F.row_number().over(Window.orderBy("__first", "__g")))
+    ranked = numbered(firsts, ["__first", "__g"], place)
     return df.join(ranked, df[key].eqNullSafe(ranked["__g"]), "left").drop("__g", "__first")
 
 

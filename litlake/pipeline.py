@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import argparse
-from collections.abc import Sequence
+import importlib
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,12 @@ from litlake import ports
 from litlake.functions import text as t
 from litlake.operators import match, reports, sections, tables
 from litlake.session import written
-from litlake.sources import files, sinks
+from litlake.sources import files, proceedings, sinks
+
+
+def fetch_stage(spark: SparkSession, conference: str, year: int, fetcher: ports.Fetcher, **options: object) -> DataFrame:
+    """The paper table of a conference's year; see ``proceedings.fetch_papers``."""
+    return proceedings.fetch_papers(spark, conference, year, fetcher, **options)
 
 
 def filter_stage(papers: DataFrame, keywords: list[str], **options: object) -> DataFrame:
@@ -56,6 +62,30 @@ def report_stage(papers: DataFrame, parsed: DataFrame, summaries: DataFrame, ord
     return reports.report_metadata(joined.drop("__file", order))
 
 
+def run_stages(
+    spark: SparkSession, conference: str, year: int, keywords: list[str], fetcher: ports.Fetcher, parse: Callable[[DataFrame], DataFrame], completer: ports.Completer,
+    size: int = 12_000, **options: object,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(status table, summaries, reports) of all stages: fetch, filter, download, parse, summarise.
+
+    ``parse`` makes parsed papers (stem, pdf_path, full_text, venue, year) of contents (file, content, error).
+    """
+    papers = fetch_stage(spark, conference, year, fetcher, **options).withColumn("pos", F.col("paper_id"))
+    status, contents = download_stage(filter_stage(papers, keywords), conference, year, fetcher)
+    status, parsed = written(status), written(parse(contents.where("error is null")))
+    summaries = written(summary_stage(parsed, completer, size=size))
+    updates = parsed.select("pdf_path", F.lit("parsed").alias("parse_status"), F.col("stem").alias("parsed_dir"))
+    done = parsed.join(summaries.where("status = 'ok'").select("stem"), "stem").select("pdf_path", F.lit("done").alias("report_status"), F.col("stem").alias("report_path"))
+    status = tables.upsert_by_file(tables.upsert_by_file(status, updates, ["parse_status", "parsed_dir"]), done, ["report_status", "report_path"])
+    return status, summaries, report_stage(status, parsed, summaries)
+
+
+def _port(name: str) -> object:
+    """The object that ``module:name`` makes when called without arguments."""
+    module, _, attribute = name.partition(":")
+    return getattr(importlib.import_module(module), attribute)()
+
+
 def main(arguments: Sequence[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="litlake", description="Stages over tables on disk")
     steps = parser.add_subparsers(dest="step", required=True)
@@ -73,6 +103,28 @@ def main(arguments: Sequence[str] | None = None) -> None:
     export.add_argument("--input", required=True)
     export.add_argument("--output", required=True)
     export.add_argument("--template", default="+ {title} [Paper]({url})")
+    fetch = steps.add_parser("fetch", help="paper table of a conference's year")
+    fetch.add_argument("--conference", required=True)
+    fetch.add_argument("--year", type=int, required=True)
+    fetch.add_argument("--source", default="auto", choices=["auto", "openreview", "openaccess"])
+    fetch.add_argument("--venue")
+    fetch.add_argument("--url")
+    fetch.add_argument("--patterns", nargs="*", default=[])
+    fetch.add_argument("--output", required=True)
+    download = steps.add_parser("download", help="files of a filtered table and its statuses")
+    download.add_argument("--input", required=True)
+    download.add_argument("--output", required=True)
+    download.add_argument("--folder", required=True)
+    download.add_argument("--conference")
+    download.add_argument("--year", type=int)
+    summarize = steps.add_parser("summarize", help="summaries of parsed papers as a table and as Markdown files")
+    summarize.add_argument("--input", required=True)
+    summarize.add_argument("--output", required=True)
+    summarize.add_argument("--folder")
+    summarize.add_argument("--completer", required=True, help="module:name of a completion port")
+    summarize.add_argument("--chunk-chars", type=int, default=12_000)
+    for step in (fetch, download):
+        step.add_argument("--fetcher", default="litlake.ports:UrlFetcher", help="module:name of a fetching port")
     combine = steps.add_parser("combine", help="all report records of a folder")
     combine.add_argument("--input", required=True)
     combine.add_argument("--output", required=True)
@@ -89,6 +141,22 @@ def main(arguments: Sequence[str] | None = None) -> None:
         names = [files.detect_column(table, "title", ["title", "papertitle"]), files.detect_column(table, "url", ["url", "link", "pdf"])]
         rows = table.select(F.monotonically_increasing_id().alias("pos"), F.col(f"`{names[0]}`").alias("title"), F.col(f"`{names[1]}`").alias("url"))
         sinks.title_lines(rows, a.template).orderBy("pos").select("line").write.mode("overwrite").text(a.output)
+    elif a.step == "fetch":
+        papers = fetch_stage(spark, a.conference, a.year, _port(a.fetcher), source=a.source, venue=a.venue, url=a.url, patterns=a.patterns)
+        sinks.write_table(papers, a.output)
+    elif a.step == "download":
+        named = spark.range(1).select(t.source_of_file(F.lit(a.input.rstrip("/").rsplit("/", 1)[-1])).alias("s")).first()["s"]
+        conference, year = a.conference or (named and named["conference"]), a.year or (named and int(named["year"]))
+        if not conference or not year:
+            raise ValueError("conference and year are neither given nor in the table's name")
+        status, contents = download_stage(files.read_table(spark, a.input), conference, year, _port(a.fetcher))
+        sinks.write_files(contents.where("error is null"), a.folder)
+        sinks.write_table(status, a.output)
+    elif a.step == "summarize":
+        summaries = written(summary_stage(files.read_table(spark, a.input), _port(a.completer), size=a.chunk_chars))
+        if a.folder:
+            sinks.write_markdown(summaries, a.folder, "stem", "summary")
+        sinks.write_table(summaries, a.output)
     else:
         sinks.write_table(files.read_reports(spark, a.input), a.output)
 

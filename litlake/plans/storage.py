@@ -77,7 +77,7 @@ def exported_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """SELECT paper_id, coalesce(replace(title, chr(10), ' '), '') AS title, CASE WHEN trim(coalesce(type,'')) = '' THEN 'unknown' WHEN contains(lower(type),'oral') THEN 'oral'
  WHEN contains(lower(type),'spotlight') THEN 'spotlight' WHEN contains(lower(type),'poster') THEN 'poster' ELSE lower(type) END AS type, coalesce(replace(keywords, ';', ','), '') AS keywords,
- coalesce(replace(abstract, chr(10), ' '), '') AS abstract, 'https://openreview.net/forum?id=' || paper_id AS url FROM all_papers"""
+ coalesce(replace(abstract, chr(10), ' '), '') AS abstract, 'https://openreview.net/pdf?id=' || paper_id AS url FROM all_papers"""
 )
 def note_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Papers of notes as the notes' service gives them, made of all papers."""

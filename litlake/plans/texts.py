@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litlake.functions import text as t
-from litlake.operators import facets, figures, reports, sections, tables, visuals
+from litlake.operators import facets, figures, joblog, reports, sections, tables, visuals
 from litlake.plans.papers import _base, _squeeze, _strip
 from litlake.sources.tables import table
 from litlake.streaming import streams
@@ -339,6 +339,21 @@ def job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.last_state(table(spark, sf_dir, "job_log"))
 
 
+@query(
+    """WITH e AS (SELECT event_id, user_id, CASE event_type WHEN 'view' THEN 'start' WHEN 'click' THEN 'exit0' WHEN 'purchase' THEN 'exit1' ELSE event_type END AS event FROM events),
+s AS (SELECT event_id, count(*) FILTER (event IN ('exit0', 'exit1')) OVER w AS ended, count(*) FILTER (event = 'exit0') OVER w AS done, count(*) FILTER (event IN ('exit1', 'error')) OVER w AS bad, count(*) FILTER (event = 'cancel') OVER w AS gone,
+ count(*) FILTER (event = 'start') OVER w AS begun FROM e WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+t AS (SELECT *, CASE WHEN gone > 0 THEN 'canceled' WHEN ended >= 20 AND bad > 0 THEN 'failed' WHEN ended >= 20 THEN 'completed' WHEN begun > 0 THEN 'running' ELSE 'queued' END AS status FROM s)
+SELECT event_id, CAST(ended AS INTEGER) AS current_index, CAST(done AS INTEGER) AS completed, CAST(bad AS INTEGER) AS failed_files, status, CASE status WHEN 'failed' THEN 1 WHEN 'completed' THEN 0 END AS exit_code FROM t"""
+)
+def job_lifecycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States of jobs of 20 files after each event; users stand for jobs, kinds of events for starts and ends."""
+    kind = F.col("event_type")
+    event = F.when(kind == "view", "start").when(kind == "click", "exit0").when(kind == "purchase", "exit1").otherwise(kind)
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", event.alias("event"), F.lit(20).alias("total"))
+    return joblog.job_states(rows, "user_id", ["event_id"], "event", "total").select("event_id", "current_index", "completed", "failed_files", "status", "exit_code")
+
+
 _CHUNKS = f"""WITH p AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\\n\\s*\\n'), lambda x: {_strip('x')}), lambda x: x <> '') AS p FROM documents WHERE text <> '')
 SELECT doc_id, unnest(range(len(p))) AS n, unnest(p) AS chunk, len(p) AS total FROM p WHERE len(p) > 0"""
 

@@ -45,6 +45,20 @@ class TableFetcher:
         return self.pages[url]
 
 
+class UrlFetcher:
+    """Fetches over HTTP with a time limit."""
+
+    def __init__(self, timeout: float = 30.0) -> None:
+        self.timeout = timeout
+
+    def fetch(self, url: str) -> bytes:
+        import urllib.request
+
+        request = urllib.request.Request(url, headers={"User-Agent": "litlake"})
+        with urllib.request.urlopen(request, timeout=self.timeout) as answer:
+            return answer.read()
+
+
 class Retrying:
     """A completer that tries again after a growing pause."""
 

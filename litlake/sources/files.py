@@ -164,7 +164,7 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def venue_notes(notes: DataFrame, address: str = "https://openreview.net/forum?id=") -> DataFrame:
+def venue_notes(notes: DataFrame, address: str = "https://openreview.net/pdf?id=") -> DataFrame:
     """Papers of a venue's notes (id, content struct with value fields), in the order of their types' first appearance.
 
     Line feeds in title and abstract become spaces, keywords are joined by commas, missing fields are empty.
@@ -214,18 +214,13 @@ def resolve_source(conference: Column, source: Column) -> Column:
 def paper_rows(pairs: DataFrame, kind: str = "", first: int = 1) -> DataFrame:
     """Papers of title and link pairs (url, pos, title, link): ids from ``first`` in order of page and place, empty strings for what is not known.
 
-    Places within a page are joined with the number of pairs on the pages before
-    it, so no window runs over all rows.
+    Rows are numbered over range partitions, so no window runs over all of them.
     """
-    from pyspark.sql import Window
+    from litlake.operators.tables import numbered
 
-    sizes = pairs.groupBy("url").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("url").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("url", before.alias("__before"))
-    number = F.col("__before") + F.row_number().over(Window.partitionBy("url").orderBy("pos")) + (first - 1)
     empty = F.lit("")
-    return pairs.join(starts, "url").select(
-        number.cast("string").alias("paper_id"), "title", F.lit(kind).alias("type"), empty.alias("keywords"), empty.alias("abstract"), F.col("link").alias("url")
+    return numbered(pairs, ["url", "pos"], "__number").select(
+        (F.col("__number") + (first - 1)).cast("string").alias("paper_id"), "title", F.lit(kind).alias("type"), empty.alias("keywords"), empty.alias("abstract"), F.col("link").alias("url")
     )
 
 

@@ -22,6 +22,41 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
         writer.parquet(path)
 
 
+def write_files(contents: DataFrame, folder: str, name: str = "file", content: str = "content") -> DataFrame:
+    """(file, bytes) of the rows of ``contents`` whose content isn't null, each written as a file of ``folder``, which all machines must share.
+
+    A file appears under its name only when it is whole, so a repeated task does no harm.
+    """
+    import os
+    import uuid
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        os.makedirs(folder, exist_ok=True)
+        for batch in batches:
+            sizes = []
+            for file, data in zip(batch["file"], batch["content"], strict=True):
+                part = os.path.join(folder, f".{uuid.uuid4().hex}")
+                with open(part, "wb") as f:
+                    f.write(data)
+                os.replace(part, os.path.join(folder, os.path.basename(file)))
+                sizes.append(len(data))
+            yield pd.DataFrame({"file": batch["file"], "bytes": sizes})
+
+    from litlake.session import cut_lineage
+
+    rows = contents.where(F.col(content).isNotNull()).select(F.col(name).alias("file"), F.col(content).alias("content"))
+    return cut_lineage(rows.mapInPandas(run, "file string, bytes long"))
+
+
+def write_markdown(docs: DataFrame, folder: str, name: str, text: str) -> DataFrame:
+    """(file, bytes): each row's text as ``name.md`` of ``folder``; null texts are left out."""
+    rows = docs.select(F.concat(F.col(name), F.lit(".md")).alias("file"), F.encode(F.col(text), "UTF-8").alias("content"))
+    return write_files(rows, folder)
+
+
 def title_lines(df: DataFrame, template: str = "+ {title} [Paper]({url})", order: str = "pos") -> DataFrame:
     """(order, line): one line per distinct address, the first by ``order``, from rows with title and url."""
     from litlake.operators.tables import keep_first

@@ -78,7 +78,7 @@ def test_pages_and_notes(spark):
     page = spark.createDataFrame([("u", entry.format("http://a/1") + entry.format("https://dl.acm.org/x"))], "url string, html string")
     assert [r["link"] for r in files.proceedings_entries(page).collect()] == ["http://a/1"]
     notes = spark.createDataFrame([("q", (("a\nb",), None, ("ICLR Oral",), (["k", "l"],)))], "id string, content struct<title:struct<value:string>,abstract:struct<value:string>,venue:struct<value:string>,keywords:struct<value:array<string>>>")
-    assert tuple(files.venue_notes(notes).first()) == ("q", "a b", "oral", "k,l", "", "https://openreview.net/forum?id=q")
+    assert tuple(files.venue_notes(notes).first()) == ("q", "a b", "oral", "k,l", "", "https://openreview.net/pdf?id=q")
 
 
 def test_rows_and_choices(spark, tmp_path):
