@@ -175,6 +175,7 @@ def _capacity(spark: SparkSession, sf_dir: str) -> int:
 
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each document, or each part of one larger than a container, is put."""
+    tokens.ship(spark)
     documents = table(spark, sf_dir, "documents").where("text <> ''")
     sizes = documents.select("doc_id", tokens.token_count(F.col("text")).alias("size"))
     return packing.fill_containers(sizes, "doc_id", _capacity(spark, sf_dir))
@@ -186,6 +187,7 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    tokens.ship(spark)
     documents = table(spark, sf_dir, "documents").where("text <> '' and source is not null")
     texts = documents.select("doc_id", "source", F.sha1("text").alias("text_key"), tokens.token_count(F.col("text")).alias("n_tokens"))
     return mixing.mix_sources(texts, table(spark, sf_dir, "source_targets"))
