@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from litlake import ports
 from litlake.functions import text as t
 from litlake.operators import facets, joblog, match, reports, sections, tables, topics, visuals
-from litlake.plans.papers import _TEXT, _squeeze, _strip
+from litlake.plans.papers import _TEXT, _WS, _squeeze, _strip
 from litlake.sources.tables import table
 from litlake.streaming import streams
 
@@ -228,11 +229,46 @@ def visual_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return visuals.context_lines(_visuals(spark, sf_dir), "source_stem")
 
 
-@query()
+_HEADS = ("基本信息", "核心问题", "方法概述", "实验设置", "主要结果", "局限与风险")
+_ITEM = _squeeze("lower(concat_ws(' ', coalesce(caption,''), coalesce(section,''), coalesce(before_text,''), coalesce(after_text,''), coalesce(table_body,''), coalesce(kind,'')))")
+
+
+def _named_sql(key: str, name: str) -> bool:
+    """Whether a heading goes by a section's name; both are known here."""
+    return any(n in key or key in n for n in dict.fromkeys([*visuals.ALIASES.get(name, [name]), name]))
+
+
+def _heading_score_sql(key: str) -> str:
+    points = [f"CASE WHEN placed = '{name}' THEN 4 ELSE 0 END" for name in visuals.ALIASES if _named_sql(key, name)]
+    terms = [w for w in re.findall(r"[a-zA-Z]{4,}|[一-鿿]{2,}", key)]
+    listed = ", ".join(f"'{w}'" for w in terms)
+    points.append(f"CASE WHEN list_has_any(section_terms, [{listed}]) THEN 5 ELSE 0 END")
+    for name, words in visuals.HEADING_WORDS.items():
+        if _named_sql(key, name):
+            points.append("2 * least(" + " + ".join(f"CAST(contains(x, '{w.lower()}') AS INTEGER)" for w in words) + ", 5)")
+    if _named_sql(key, "主要结果"):
+        points.append("CASE WHEN kind = 'table' THEN 2 ELSE 0 END")
+    points += [f"CASE WHEN regexp_matches(x, '{pattern}') THEN {n} ELSE 0 END" for name, n, pattern in visuals.BONUSES if _named_sql(key, name)]
+    points.append("least(" + " + ".join(f"CAST(contains(x, '{w}') AS INTEGER)" for w in terms) + ", 3)")
+    total = " + ".join(points)
+    return f"({total}) - CASE WHEN ({total}) <= 2 THEN 2 ELSE 0 END" if key in ("基本信息", "可借鉴点") else total
+
+
+_SCORED = " UNION ALL ".join(f"SELECT *, {n} AS pos, '{h}' AS heading, {_heading_score_sql(h)} AS score FROM i" for n, h in enumerate(_HEADS))
+
+
+@query(
+    f"""WITH i AS (SELECT *, {_VSECTION} AS placed, {_ITEM} AS x, regexp_extract_all(lower(regexp_replace(regexp_replace(regexp_replace(coalesce(section, ''), '^[#\\s]+', ''), '^[0-9]+(?:\\.[0-9]+)*\\.?\\s*', ''), '[：:()\\[\\]【】\\-—_\\s]+', '', 'g')), '[a-zA-Z]{{4,}}|[一-鿿]{{2,}}') AS section_terms,
+ coalesce(list_contains(list_transform(regexp_extract_all(caption, '(?i)\\b(?:table|figure|fig\\.?)\\s*[0-9]+\\b'), lambda c: CASE WHEN starts_with(lower(c), 'table') THEN 'table:' ELSE 'figure:' END || regexp_extract(c, '([0-9]+)$', 1)), 'figure:1'), false) AS first_figure
+ FROM (SELECT DISTINCT * FROM visual_items)),
+s AS ({_SCORED} UNION ALL SELECT *, 6, '图1', CASE WHEN first_figure THEN 1000 ELSE -1000 END FROM i),
+b AS (SELECT source_stem, item_index, heading, score, row_number() OVER (PARTITION BY source_stem, item_index ORDER BY score DESC, pos) AS n FROM s)
+SELECT source_stem, item_index, CASE WHEN score > 0 THEN heading END AS heading, CASE WHEN score > 0 THEN score END AS heading_score FROM b WHERE n = 1"""
+)
 def visual_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items placed in the summaries of their papers; the summaries here are the papers' section headings as Markdown."""
+    """Items placed in summaries that have the headings of a report's template and one for figure 1; the tables hold no summaries."""
     items = _visuals(spark, sf_dir).distinct()
-    fixed = "## 基本信息\n## 核心问题\n## 方法概述\n## 实验设置\n## 主要结果\n## 局限与风险\n### 图1\n"
+    fixed = "".join(f"## {h}\n" for h in _HEADS) + "### 图1\n"
     summaries = items.select("source_stem").distinct().withColumn("summary", F.lit(fixed))
     return visuals.place_visuals(items, summaries, "source_stem", "summary").select("source_stem", "item_index", "heading", "heading_score")
 
@@ -326,11 +362,6 @@ def _report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.join(rows, t.base_name(parsed["pdf_path"]) == rows["file"], "left").drop("file", "pos")
 
 
-@query()
-def report_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.report_metadata(_report_rows(spark, sf_dir))
-
-
 _MODAL = "list_filter(['video', 'audio', 'text', 'image'], lambda m: CASE m " + " ".join(
     f"WHEN '{name}' THEN " + " OR ".join(f"contains(x, '{w}')" for w in words) for name, words in reports.MODALITY_WORDS
 ) + " END)"
@@ -344,8 +375,13 @@ def modalities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "all_papers").select("pos", reports.modality(none, F.concat_ws(" ", "title", "abstract")).alias("modality"))
 
 
+def _re2(pattern: str) -> str:
+    """A rule's pattern for DuckDB, whose word boundaries know ASCII letters only."""
+    return re.sub(r"\\b$", r"(?:$|[^\\p{L}\\p{N}_])", re.sub(r"^\\b", r"(?:^|[^\\p{L}\\p{N}_])", pattern))
+
+
 _RULES = "list_filter([" + ", ".join(f"'{n}'" for n, _ in reports.TAG_RULES) + "], lambda r: CASE r " + " ".join(
-    f"WHEN '{n}' THEN regexp_matches(x, '{'|'.join(p)}')" for n, p in reports.TAG_RULES
+    f"WHEN '{n}' THEN regexp_matches(x, '{'|'.join(map(_re2, p))}')" for n, p in reports.TAG_RULES
 ) + " END)"
 
 
@@ -392,7 +428,52 @@ def recent_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facets.top_rows(_reports(spark, sf_dir), 50, *facets.report_order("recent")).select("id", "year", "venue", "title")
 
 
-@query()
+def _text_list(words: object) -> str:
+    return "[" + ", ".join("'" + str(w).replace("'", "''") + "'" for w in words) + "]"
+
+
+def _map_sql(values: dict[str, str]) -> str:
+    return f"MAP({_text_list(values)}, {_text_list(values.values())})"
+
+
+_FORMAT = (
+    "array_to_string(list_transform(string_split(" + _squeeze("regexp_replace({x}, '[_-]+', ' ', 'g')").replace("{a0}", "{{a0}}").replace("{3000}", "{{3000}}")
+    + ", ' '), lambda w: CASE WHEN lower(w) = 'lora' THEN 'LoRA' WHEN list_contains(" + _text_list(reports.ACRONYMS)
+    + ", lower(w)) THEN upper(w) WHEN length(w) > 1 AND regexp_matches(w, '\\p{Lu}') AND NOT regexp_matches(w, '\\p{Ll}') THEN w ELSE upper(substr(w, 1, 1)) || lower(substr(w, 2)) END), ' ')"
+)
+_EDGE = "[ \\t\\r\\n,;|/、，；]+"
+
+
+def _format_sql(x: str) -> str:
+    return _FORMAT.replace("{x}", x).replace("{{", "{").replace("}}", "}")
+
+
+_KIND_TAGS = "CASE key " + " ".join(f"WHEN '{k}' THEN {_text_list(v)}" for k, v in reports.MODALITY_TAGS.items()) + " END"
+_MARKS = "regexp_replace(coalesce(r, ''), '[`*_#]+', ' ', 'g')"
+_TAG = f"regexp_replace({_squeeze(_MARKS)}, '^{_EDGE}|{_EDGE}$', '', 'g')"
+_NORMAL = f"""CASE WHEN t.tag = '' THEN NULL WHEN {_map_sql(reports.TAG_ALIASES)}[t.key] IS NOT NULL THEN {_map_sql(reports.TAG_ALIASES)}[t.key]
+ {' '.join(f"WHEN contains(t.tag, '{k}') THEN '{v}'" for k, v in reports.CHINESE_TAGS.items())} WHEN regexp_matches(t.tag, '[\\x{{3400}}-\\x{{9fff}}]') OR NOT regexp_matches(t.tag, '[A-Za-z]') THEN NULL ELSE {_format_sql('t.tag')} END"""
+
+
+def _tags_sql(keys: str, own: list[str]) -> str:
+    """CTEs from ``b`` (the keys, own lists, x the lower-cased text, kind) to ``tagged`` (the keys, tags)."""
+    joined = f"list_concat(list_concat(['Emotion'], {_RULES}), coalesce({_KIND_TAGS}, [{_format_sql('kind')}]))"
+    for o in own:
+        joined = f"list_concat({joined}, coalesce(list_filter(list_transform(string_split_regex({o}, '[,;|/、，；]+'), lambda p: {_strip('p')}), lambda p: p <> ''), []))"
+    return f"""k2 AS (SELECT *, trim(regexp_replace(lower(kind), '[^a-z0-9]+', ' ', 'g')) AS key FROM b),
+r AS (SELECT {keys}, {joined} AS raw FROM k2),
+t AS (SELECT {keys}, list_transform(list_transform(raw, lambda r: {_TAG}), lambda g: {{'tag': g, 'key': trim(regexp_replace(lower(g), '[^a-z0-9]+', ' ', 'g'))}}) AS l FROM r),
+n AS (SELECT {keys}, list_filter(list_transform(l, lambda t: {_NORMAL}), lambda v: v IS NOT NULL) AS l FROM t),
+tagged AS (SELECT {keys}, list_reduce(list_transform(l, lambda v: [v]), lambda s, v: CASE WHEN list_contains(list_transform(s, lambda q: lower(q)), lower(v[1])) THEN s ELSE list_concat(s, v) END)[1:5] AS tags FROM n)"""
+
+
+_KIND = "CASE WHEN len(m) > 1 THEN 'multimodal' WHEN len(m) = 1 THEN m[1] ELSE 'image' END"
+
+
+@query(
+    f"""WITH b AS (SELECT *, {_KIND} AS kind FROM (SELECT *, {_MODAL} AS m FROM (SELECT pos, updated_at, matched_keywords, {_TEXT} AS x FROM filtered_papers))),
+{_tags_sql("pos, updated_at", ["matched_keywords"])} SELECT pos, updated_at, tags FROM tagged"""
+)
 def normalized_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     papers = table(spark, sf_dir, "filtered_papers")
     text = match.searched_text(papers, ["title", "abstract", "keywords"])
@@ -400,6 +481,52 @@ def normalized_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return papers.select("pos", "updated_at", reports.report_tags(text, kind, F.col("matched_keywords")).alias("tags"))
 
 
+def _first_filled_sql(*columns: str) -> str:
+    return "coalesce(" + ", ".join(f"nullif({_strip(c)}, '')" for c in columns) + ", '')"
+
+
+_LED = "replace(regexp_replace(whole, '^\\s*20[0-9][0-9][_\\s-]+[A-Za-z]+[_\\s-]+', ''), '_', ' ')"
+_CLEAN_FULL = f"coalesce(nullif(regexp_replace(regexp_replace({_LED}, '{_WS}+', ' ', 'g'), '^[ .]+|[ .]+$', '', 'g'), ''), whole)"
+
+
+def _acronym_sql(x: str) -> str:
+    word = f"trim(regexp_extract({x}, '^{_WS}*([A-Za-z][A-Za-z0-9-]{{1,20}}){_WS}*[:：-]{_WS}+', 1), '-')"
+    return f"CASE WHEN regexp_matches({word}, '[A-Z]') OR length({word}) <= 8 THEN nullif({word}, '') END"
+
+
+def _slug_sql(x: str) -> str:
+    return f"trim(substr(trim(regexp_replace(lower({_strip(x)}), '[^A-Za-z0-9]+', '-', 'g'), '-'), 1, 80), '-')"
+
+
+_STEM_PARTS = "'(?s)^(20[0-9][0-9])_([^_]+)_(.+)$'"
+_BODY_LINES = "string_split_regex(text, '\\r\\n|\\r|\\n')"
+
+
+@query(
+    f"""WITH p AS (SELECT DISTINCT ON (stem) stem, regexp_extract(pdf_path, '([^/\\\\]*)$', 1) AS file, coalesce(full_text, '') AS text, venue, year FROM parsed_papers ORDER BY stem, parsed_at),
+f AS (SELECT DISTINCT ON (file) regexp_extract(pdf_path, '([^/\\\\]*)$', 1) AS file, paper_id, title, keywords, matched_keywords, abstract FROM filtered_papers WHERE trim(pdf_path) <> '' ORDER BY file, pos, updated_at),
+j AS (SELECT p.*, paper_id, title AS own, keywords, matched_keywords, abstract, CASE WHEN regexp_matches(stem, {_STEM_PARTS}) THEN regexp_extract(stem, {_STEM_PARTS}, 1) ELSE '' END AS stem_year, CASE WHEN regexp_matches(stem, {_STEM_PARTS}) THEN regexp_extract(stem, {_STEM_PARTS}, 2) ELSE '' END AS stem_venue,
+ CASE WHEN regexp_matches(stem, {_STEM_PARTS}) THEN trim(replace(regexp_extract(stem, {_STEM_PARTS}, 3), '_', ': ')) ELSE stem END AS stem_title FROM p LEFT JOIN f USING (file)),
+g AS (SELECT *, {_first_filled_sql('own', "regexp_replace(regexp_extract(text, '(?m)^[ ' || chr(9) || ']*(# [^' || chr(10) || chr(13) || ']*)', 1), '^#+', '')", 'stem_title')} AS whole FROM j),
+h AS (SELECT *, lower(concat_ws(' ', {_first_filled_sql('own', 'keywords', 'abstract')}, substr(text, 1, 4000))) AS x0,
+ lower(concat_ws(' ', whole, coalesce(own, ''), coalesce(keywords, ''), coalesce(abstract, ''), coalesce(matched_keywords, ''), substr(text, 1, 10000))) AS x FROM g),
+b AS (SELECT *, {_KIND} AS kind FROM (SELECT *, {_MODAL.replace('contains(x,', 'contains(x0,')} AS m FROM h)),
+{_tags_sql("stem", ["matched_keywords", "keywords"])},
+l AS (SELECT stem, unnest(range(len(l))) AS n, unnest(l) AS line FROM (SELECT stem, {_BODY_LINES} AS l FROM p)),
+a0 AS (SELECT stem, min(n) AS head_no FROM l WHERE lower({_strip("trim(" + _strip('line') + ", '#')")}) = 'abstract' GROUP BY stem),
+a1 AS (SELECT l.stem, n, {_strip('line')} AS line, sum(CASE WHEN {_strip('line')} <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY l.stem ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS filled, starts_with(line, '#') AS head FROM l JOIN a0 ON l.stem = a0.stem AND n > head_no),
+a2 AS (SELECT stem, min(n) AS stop FROM a1 WHERE head AND filled > 0 GROUP BY stem),
+a3 AS (SELECT a1.stem, {_squeeze("string_agg(line, ' ' ORDER BY n)")} AS body FROM a1 LEFT JOIN a2 ON a1.stem = a2.stem WHERE line <> '' AND (stop IS NULL OR n < stop) GROUP BY a1.stem),
+c AS (SELECT b.*, tags, {_CLEAN_FULL} AS clean, {_cut_sql('body', 500)} AS section FROM b JOIN tagged USING (stem) LEFT JOIN a3 USING (stem)),
+d AS (SELECT *, {_acronym_sql('clean')} AS short_a, {_acronym_sql('stem')} AS short_b, regexp_extract_all(clean, '[A-Za-z0-9]+') AS ws, trim(regexp_replace({_strip("coalesce(paper_id, '')")}, '(?i)^/blog/', ''), '/') AS explicit FROM c)
+SELECT coalesce(nullif({_slug_sql("CASE WHEN explicit = '' THEN coalesce(short_a, short_b, whole) ELSE explicit END")}, ''), {_slug_sql('stem')}) AS id,
+ coalesce(short_a, short_b, CASE WHEN len(ws) BETWEEN 2 AND 5 THEN array_to_string(ws, ' ') WHEN len(ws) > 0 THEN array_to_string(ws[1:4], ' ') ELSE stem END) AS title, whole AS fullTitle,
+ coalesce(try_cast(nullif(regexp_extract({_first_filled_sql('year', 'stem_year')}, '20[0-9][0-9]', 0), '') AS INTEGER), 2026) AS year, {_first_filled_sql('venue', 'stem_venue')} AS venue, kind AS modality, tags, {_first_filled_sql('abstract', 'section')} AS introduction FROM d"""
+)
+def report_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.report_metadata(_report_rows(spark, sf_dir))
+
+
 # ---- logs --------------------------------------------------------------------------------------------
 
 

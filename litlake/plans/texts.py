@@ -40,7 +40,10 @@ def _truncated(x: str, size: int) -> str:
 _ROWS = r"regexp_replace(regexp_replace(table_body, '(?i)<\s*/\s*(tr|p|div|table)\s*>', chr(10), 'g'), '(?i)<\s*/\s*(td|th)\s*>', ' | ', 'g')"
 
 
-@query(f"SELECT DISTINCT source_stem, item_index, {_squeeze(_unescape('regexp_replace(' + _ROWS + chr(44) + chr(39) + '<[^>]+>' + chr(39) + chr(44) + chr(39) + ' ' + chr(39) + chr(44) + chr(39) + 'g' + chr(39) + ')'))} AS body FROM visual_items WHERE table_body IS NOT NULL")
+_PLAIN_BODY = f"regexp_replace({_ROWS}, '<[^>]+>', ' ', 'g')"
+
+
+@query(f"SELECT DISTINCT source_stem, item_index, {_squeeze(_unescape(_PLAIN_BODY))} AS body FROM visual_items WHERE table_body IS NOT NULL")
 def table_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "visual_items").where("table_body is not null")
     return items.select("source_stem", "item_index", t.strip_html(F.col("table_body")).alias("body")).distinct()
