@@ -804,9 +804,8 @@ def scan_papers(papers: DataFrame, captions: DataFrame) -> tuple[DataFrame, Data
     trie = share({w: n for w, n in held.items() if n >= ANCHOR and w.isalpha()})
     # The broadcast words that may be misread themselves are asked for like rare ones; the others are known to be right.
     doubtful = written(counts.where(F.col("n") >= least).mapInPandas(_correct(trie), _FOUND))
+    # They have no candidate among rarer words, as an original is always more frequent.
     doubted = {r[0] for r in doubtful.select("word").distinct().collect()}
-    if least > ANCHOR:
-        doubted |= {r[0] for r in rare_candidates(counts.where(F.col("n") >= least), counts, least).select("word").distinct().collect()}
     shared = share({w: n for w, n in held.items() if w not in doubted})
     about = papers.where("stem is not null").groupBy("stem").agg(F.min(F.struct("title", "venue", "year")).alias("m"))
     pages = papers.where(F.size("pages") > 0).select("stem", "title", "venue", "year", "pages")
