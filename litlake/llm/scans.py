@@ -148,14 +148,14 @@ class Trie:
         found: dict[int, tuple[int, int, int]] = {}
         size = len(word)
         stack = [(0, 0, 0, 0, size)]  # node, place in the word, edits that are no confusions, edits, place of the first edit
-        seen = set()
+        seen: dict[tuple[int, int, int, int], int] = {}  # of states after an edit, the least place; early edits are walked first
         while stack:
-            state = stack.pop()
-            node, at, general, used, start = state
-            if general:
-                if state in seen:
+            node, at, general, used, start = stack.pop()
+            if used:
+                state = (node, at, general, used)
+                if seen.get(state, size + 1) <= start:
                     continue
-                seen.add(state)
+                seen[state] = start
             low, high = first[node], first[node + 1]
             more = used < EDITS and most[node] >= limits[general + 1, used + 1]
             if at == size:
