@@ -261,6 +261,7 @@ def normalize_text(column: Column) -> Column:
 
 def heading_key(column: Column) -> Column:
     """A heading without marks, number, punctuation and case."""
+    # The marks that are removed.
     text = F.regexp_replace(column, rf"^(?:#|{SPACE})+", "")
     text = F.regexp_replace(text, rf"^\d+(?:\.\d+)*\.?{SPACE}*", "")
     return F.lower(F.regexp_replace(text, rf"(?:[：:()\[\]【】\-—_]|{SPACE})+", ""))
@@ -268,6 +269,7 @@ def heading_key(column: Column) -> Column:
 
 def intro_text(column: Column) -> Column:
     """Running text of Markdown: no images, link targets, tags, line marks and emphasis."""
+    # The marks that are removed.
     text = F.regexp_replace(column, r"!\[[^\]]*\]\([^)]+\)", " ")
     text = F.regexp_replace(text, r"\[([^\]]+)\]\([^)]+\)", "$1")
     text = F.regexp_replace(text, "<[^>]+>", " ")

@@ -69,11 +69,13 @@ TAG_ALIASES = {
     "knowledge graph": "Knowledge Graph", "benchmark": "Benchmark", "dataset": "Dataset", "ablation": "Ablation Study",
     "classification": "Classification", "recognition": "Recognition",
 }
+# Fixed values, the other half of the table above: a tag need only hold one of these keys, where those above must be equal.
 CHINESE_TAGS = {
     "情感": "Emotion", "情感识别": "Emotion Recognition", "视觉情感": "Visual Emotion Recognition", "表情识别": "Facial Expression Recognition",
     "面部表情": "Facial Expression Recognition", "动作单元": "Action Unit", "跨域": "Cross-Domain", "领域自适应": "Domain Adaptation",
     "无监督": "Unsupervised Learning", "扩散": "Diffusion", "多模态": "Multimodal", "图像": "Image", "视频": "Video", "音频": "Audio", "文本": "Text",
 }
+# Words that are written in capitals.
 ACRONYMS = ("ai", "au", "clip", "fer", "gan", "llm", "moe", "nlp", "uc", "vae", "ver", "vlm")
 MOST_TAGS = 5
 

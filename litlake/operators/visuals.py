@@ -16,6 +16,7 @@ SECTION_RULES = (
     ("核心方法", r"method|model|framework|architecture|pipeline|algorithm|module|overview|approach"),
     ("研究问题", r"motivation|problem|challenge|introduction|background"),
 )
+# Where a visual belongs if nothing speaks, and words that add to its score.
 DEFAULT_SECTION = "关键实验与结果"
 SCORE_WORDS = r"result|experiment|comparison|ablation|performance|accuracy|flow|curve|dataset|method|model"
 

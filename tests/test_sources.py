@@ -159,3 +159,18 @@ def test_summaries_keep_errors(spark):
     assert out[1] == ("ok", 1, None) and out[2] == (None, 1, "ValueError: bad prompt") and out[3][:2] == ("ok", 4) and 4 not in out
     fetched = ports.fetch_all(spark.createDataFrame([(1, "a"), (2, "b")], "k int, u string"), "k", "u", ports.TableFetcher({"a": b"1"}))
     assert sorted((r["k"], r["content"], r["error"]) for r in fetched.collect()) == [(1, b"1", None), (2, None, "KeyError: 'b'")]
+
+
+def test_summaries_by_brute_force(spark):
+    """Each chunk one call, the answers in order one more; the stand-in answers with the prompt's SHA-1."""
+    import hashlib
+
+    sha1 = lambda x: hashlib.sha1(x.encode()).hexdigest()
+    a, b, c, zh = "a" * 900, "b" * 700, "c" * 200, "中文。" * 300
+    chunks = {1: ["short"], 2: [a], 3: [a, b + "\n\n" + c], 4: [zh, zh, "# H\n" + b], 5: [a, a, a]}
+    df = spark.createDataFrame([(k, "\n\n".join(v)) for k, v in chunks.items()] + [(6, ""), (7, None)], "k int, t string")
+    want = {}
+    for k, parts in chunks.items():
+        answers = [sha1(p) for p in parts]
+        want[k] = (answers[0] if len(answers) == 1 else sha1("\n\n".join(f"### {i + 1}\n{x}" for i, x in enumerate(answers))), len(answers))
+    assert {r["k"]: (r["summary"], r["parts"]) for r in ports.summarize(df, "k", "t", ports.HashCompleter(), 1000).collect()} == want
