@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from litlake.functions import text as t
 from litlake.operators import tables
+from litlake.plans import documents
 from litlake.plans.papers import _squeeze, _strip
 from litlake.session import scratch
 from litlake.sources import files, sinks
@@ -41,6 +42,22 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_table(spark, path)
 
 
+@query("SELECT CAST(pos AS VARCHAR) AS pos, " + ", ".join(map(_cell, ("title", "type", "keywords", "abstract", "url"))) + " FROM (SELECT DISTINCT pos, title, type, keywords, abstract, url FROM filtered_papers)")
+def excel_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The filtered papers written as a workbook and read back."""
+    path = scratch(spark, ".xlsx")
+    sinks.write_table(table(spark, sf_dir, "filtered_papers").select("pos", "title", "type", "keywords", "abstract", "url").distinct(), path)
+    return files.read_table(spark, path)
+
+
+@query("SELECT id, title, fullTitle, year, modality, tags, introduction, venue FROM (" + documents.ORACLES["report_metadata"] + ")")
+def report_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Report records written as one JSON file each and read back as one corpus."""
+    path = scratch(spark, ".reports")
+    documents.report_metadata(spark, sf_dir).write.option("maxRecordsPerFile", 1).json(path)
+    return files.read_reports(spark, path).select("id", "title", "fullTitle", "year", "modality", "tags", "introduction", "venue")
+
+
 @query("SELECT pos, paper_id, title, keywords, source_file FROM all_papers")
 def partitioned_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All papers written as Parquet, a folder for each source file, and read back."""

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from litlake.functions import text as t
 from litlake.operators import facets, figures, joblog, reports, sections, tables, visuals
-from litlake.plans.papers import _base, _squeeze, _strip
+from litlake.pipeline import filter_stage
+from litlake.plans.papers import _TEXT, _base, _squeeze, _strip
 from litlake.sources.tables import table
 from litlake.streaming import streams
 
@@ -117,14 +118,19 @@ def leading_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", t.leading_text(F.col("text"), 300).alias("lead"))
 
 
-@query(
-    f"""WITH r AS (SELECT doc_id, unnest(range(len(l))) AS n, unnest(l) AS line FROM (SELECT doc_id, {_LINES} AS l FROM documents WHERE text <> '')),
+def _section_ctes(size: int) -> str:
+    """CTEs that end in ``t`` (doc_id, x): the squeezed body of the section named abstract."""
+    return f"""r AS (SELECT doc_id, unnest(range(len(l))) AS n, unnest(l) AS line FROM (SELECT doc_id, {_LINES} AS l FROM documents WHERE text <> '')),
 s AS (SELECT doc_id, min(n) AS head_no FROM r WHERE lower({_strip("trim(" + _strip('line') + ", '#')")}) = 'abstract' GROUP BY doc_id),
 b AS (SELECT r.doc_id, n, {_strip('line')} AS line, sum(CASE WHEN {_strip('line')} <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY r.doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS filled, starts_with(line, '#') AS head
  FROM r JOIN s ON r.doc_id = s.doc_id AND n > head_no),
 e AS (SELECT doc_id, min(n) AS stop FROM b WHERE head AND filled > 0 GROUP BY doc_id),
-t AS (SELECT b.doc_id, {_squeeze("string_agg(line, ' ' ORDER BY n)")} AS x FROM b LEFT JOIN e ON b.doc_id = e.doc_id WHERE line <> '' AND (stop IS NULL OR n < stop) GROUP BY b.doc_id)
-SELECT d.doc_id, coalesce({_truncated('x', 500)}, '') AS body FROM documents d LEFT JOIN t ON d.doc_id = t.doc_id WHERE text <> ''"""
+t AS (SELECT doc_id, {_truncated('x', size)} AS x FROM (SELECT b.doc_id, {_squeeze("string_agg(line, ' ' ORDER BY n)")} AS x FROM b LEFT JOIN e ON b.doc_id = e.doc_id WHERE line <> '' AND (stop IS NULL OR n < stop) GROUP BY b.doc_id))"""
+
+
+@query(
+    f"""WITH {_section_ctes(500)}
+SELECT d.doc_id, coalesce(x, '') AS body FROM documents d LEFT JOIN t ON d.doc_id = t.doc_id WHERE text <> ''"""
 )
 def abstract_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").where("text <> ''")
@@ -174,6 +180,31 @@ def info_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return papers.select("pos", value.alias("task"), t.first_filled(value).alias("again"))
 
 
+@query(
+    f"""WITH {_section_ctes(1400)},
+l AS (SELECT doc_id, {_strip("regexp_replace(regexp_extract(text, '(?m)^[ ' || chr(9) || ']*(# [^' || chr(10) || chr(13) || ']*)', 1), '^#+', '')")} AS title, list_filter({_STRIPPED}, lambda x: regexp_matches(x, '^#{{1,4}}\\s+\\S+'))[1:24] AS heads,
+ {_squeeze("array_to_string(list_filter(" + _STRIPPED + ", lambda x: x <> '' AND NOT starts_with(x, '!') AND NOT starts_with(x, '<')), ' ')")} AS lead FROM documents WHERE text <> '')
+SELECT l.doc_id, '# ' || coalesce(nullif(title, ''), 'doc-' || l.doc_id) || chr(10) || chr(10) || '> no model' || chr(10) || chr(10) || '## 摘要线索' || chr(10) || coalesce(nullif(x, ''), {_truncated('lead', 1000)}) || chr(10) || chr(10) || '## 章节线索' || chr(10)
+ || CASE WHEN len(heads) > 0 THEN array_to_string(list_transform(heads, lambda h: '- ' || h), chr(10)) ELSE '- 未识别到明显章节标题' END AS report FROM l LEFT JOIN t ON l.doc_id = t.doc_id"""
+)
+def fallback_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports without a model."""
+    docs = table(spark, sf_dir, "documents").where("text <> ''")
+    name = F.concat(F.lit("doc-"), F.col("doc_id").cast("string"))
+    return docs.select("doc_id", sections.fallback_report(name, F.col("text"), F.lit("no model")).alias("report"))
+
+
+@query(
+    "SELECT pos, array_to_string(h, ', ') AS matched_keywords, 'pending' AS download_status, 'pending' AS parse_status, 'pending' AS report_status FROM (SELECT pos, list_filter(['emotion', 'speech'], lambda k: contains(x, k)) AS h FROM (SELECT pos, "
+    + _TEXT
+    + " AS x FROM all_papers)) WHERE len(h) > 0"
+)
+def filtered_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The filter stage with its defaults: matching papers with their status columns."""
+    kept = filter_stage(table(spark, sf_dir, "all_papers"), ["emotion", "speech"])
+    return kept.select("pos", "matched_keywords", "download_status", "parse_status", "report_status")
+
+
 # ---- names, lists, predicates ------------------------------------------------------------------------
 
 

@@ -41,6 +41,12 @@ def read_table(spark: SparkSession, path: str, sheet: str | int = 0) -> DataFram
     raise ValueError(f"unknown kind of table: {path}")
 
 
+def _cell_text(element: ElementTree.Element, space: dict[str, str]) -> str:
+    """A cell's text; characters that XML can't hold stand in it as _xHHHH_."""
+    text = "".join(t.text or "" for t in element.iterfind(".//m:t", space))
+    return re.sub("_x([0-9A-Fa-f]{4})_", lambda m: chr(int(m[1], 16)), text)
+
+
 def _sheet_rows(content: bytes, sheet: str | int) -> list[list[str | None]]:
     space = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
     rel = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
@@ -49,7 +55,7 @@ def _sheet_rows(content: bytes, sheet: str | int) -> list[list[str | None]]:
         shared = []
         if "xl/sharedStrings.xml" in names:
             root = ElementTree.fromstring(book.read("xl/sharedStrings.xml"))
-            shared = ["".join(t.text or "" for t in si.iterfind(".//m:t", space)) for si in root.iterfind("m:si", space)]
+            shared = [_cell_text(si, space) for si in root.iterfind("m:si", space)]
         sheets = ElementTree.fromstring(book.read("xl/workbook.xml")).findall("m:sheets/m:sheet", space)
         chosen = sheets[sheet] if isinstance(sheet, int) else next(s for s in sheets if s.get("name") == sheet)
         targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
@@ -68,7 +74,7 @@ def _sheet_rows(content: bytes, sheet: str | int) -> list[list[str | None]]:
                 place -= 1
             kind, value = c.get("t"), c.find("m:v", space)
             if kind == "inlineStr":
-                cells[place] = "".join(t.text or "" for t in c.iterfind(".//m:t", space))
+                cells[place] = _cell_text(c, space)
             elif value is not None:
                 cells[place] = shared[int(value.text)] if kind == "s" else value.text
         rows.append([cells.get(i) for i in range(max(cells, default=-1) + 1)])

@@ -39,6 +39,22 @@ def test_round_trip(spark, tmp_path):
         assert sorted(map(repr, files.read_table(spark, path).select("x", "y").collect())) == sorted(map(repr, df.collect()))
 
 
+def test_workbook_round_trip(spark, tmp_path):
+    from litlake.sources import sinks
+
+    rows = [("a\x01b\r\n\tc", " x "), ("_x0041_ & <i>", None), ("情感😀", "NA"), (None, None)] + [(f"r{i}", "y") for i in range(30)]
+    df = spark.createDataFrame(rows, "first string, `second one` string").repartition(3)
+    path = str(tmp_path / "new" / "t.xlsx")
+    sinks.write_table(df, path)
+    back = files.read_table(spark, path)
+    want = {(a, None if b == "NA" else b) for a, b in rows}
+    assert back.columns == df.columns and {tuple(r) for r in back.collect()} == want and back.count() == len(rows)
+    sinks.write_table(df.limit(0), path)
+    assert files.read_table(spark, path).columns == df.columns and files.read_table(spark, path).count() == 0
+    with pytest.raises(Exception, match="characters"):
+        sinks.write_table(spark.createDataFrame([("x" * 40_000,)], "v string"), path)
+
+
 def test_listing(spark, tmp_path):
     for name in ("b.pdf", "a.PDF", "c.txt", "sub/d.pdf"):
         (tmp_path / name).parent.mkdir(exist_ok=True)
