@@ -123,7 +123,16 @@ def main(arguments: Sequence[str] | None = None) -> None:
     summarize.add_argument("--folder")
     summarize.add_argument("--completer", required=True, help="module:name of a completion port")
     summarize.add_argument("--chunk-chars", type=int, default=12_000)
-    for step in (fetch, download):
+    run = steps.add_parser("run", help="all stages; tables status, summaries and reports in a folder")
+    run.add_argument("--conference", required=True)
+    run.add_argument("--year", type=int, required=True)
+    run.add_argument("--keywords", nargs="+", required=True)
+    run.add_argument("--source", default="auto", choices=["auto", "openreview", "openaccess"])
+    run.add_argument("--parser", required=True, help="module:name of what makes a parser: contents to parsed papers")
+    run.add_argument("--completer", required=True, help="module:name of a completion port")
+    run.add_argument("--chunk-chars", type=int, default=12_000)
+    run.add_argument("--output", required=True)
+    for step in (fetch, download, run):
         step.add_argument("--fetcher", default="litlake.ports:UrlFetcher", help="module:name of a fetching port")
     combine = steps.add_parser("combine", help="all report records of a folder")
     combine.add_argument("--input", required=True)
@@ -144,6 +153,10 @@ def main(arguments: Sequence[str] | None = None) -> None:
     elif a.step == "fetch":
         papers = fetch_stage(spark, a.conference, a.year, _port(a.fetcher), source=a.source, venue=a.venue, url=a.url, patterns=a.patterns)
         sinks.write_table(papers, a.output)
+    elif a.step == "run":
+        made = run_stages(spark, a.conference, a.year, a.keywords, _port(a.fetcher), _port(a.parser), _port(a.completer), a.chunk_chars, source=a.source)
+        for name, result in zip(("status", "summaries", "reports"), made, strict=True):
+            sinks.write_table(result, f"{a.output}/{name}.parquet")
     elif a.step == "download":
         named = spark.range(1).select(t.source_of_file(F.lit(a.input.rstrip("/").rsplit("/", 1)[-1])).alias("s")).first()["s"]
         conference, year = a.conference or (named and named["conference"]), a.year or (named and int(named["year"]))

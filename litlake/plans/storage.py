@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from litlake import ports
 from litlake.functions import text as t
 from litlake.operators import tables
+from litlake.pipeline import download_stage
 from litlake.plans import documents
 from litlake.plans.papers import _squeeze, _strip
 from litlake.session import scratch
@@ -88,6 +90,32 @@ def exported_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("x.title", "x.url").agg(F.count("*").alias("n"))
 
 
+_PDF = "'2026_ICLR_' || substr(regexp_replace(" + _strip("regexp_replace(coalesce(title, 'nan'), '[\\\\/:*?\"<>|]', '_', 'g')") + ", '\\.+$', ''), 1, 200) || '.pdf'"
+_PDF_URL = "CASE WHEN contains(url, '/forum?id=') OR contains(url, 'openreview.net/forum') THEN replace(url, 'forum', 'pdf') ELSE replace(url, '/article/view/', '/article/download/') END"
+_WANTED = f"SELECT {_PDF} AS file, min({_PDF_URL}) AS url FROM filtered_papers WHERE {_strip("coalesce(url, '')")} <> '' GROUP BY 1"
+
+
+@query(
+    f"""WITH w AS ({_WANTED}) SELECT pos, updated_at, p.file AS pdf_path, CASE WHEN contains(w.url, '://') THEN 'downloaded' ELSE 'missing' END AS download_status
+ FROM (SELECT pos, updated_at, {_PDF} AS file FROM filtered_papers) p LEFT JOIN w USING (file)"""
+)
+def downloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected files and statuses after the download stage with a stand-in for the network."""
+    done, _ = download_stage(table(spark, sf_dir, "filtered_papers"), "ICLR", 2026, ports.HashFetcher())
+    return done.select("pos", "updated_at", "pdf_path", "download_status")
+
+
+@query(f"SELECT file, sha1(url) AS content, 40 AS bytes FROM ({_WANTED}) WHERE contains(url, '://')")
+def downloaded_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the download stage fetched, written as files, listed and read back."""
+    _, contents = download_stage(table(spark, sf_dir, "filtered_papers"), "ICLR", 2026, ports.HashFetcher())
+    folder = scratch(spark)
+    sizes = sinks.write_files(contents.where("error is null"), folder)
+    listed = files.list_files(spark, folder, "pdf").select(t.base_name(F.col("path")).alias("file"))
+    read = spark.read.format("binaryFile").load(folder).select(t.base_name(F.col("path")).alias("file"), F.decode("content", "UTF-8").alias("content"))
+    return sizes.join(listed, "file").join(read, "file").select("file", "content", F.col("bytes").cast("int").alias("bytes"))
+
+
 # ---- notes and pages ---------------------------------------------------------------------------------
 
 

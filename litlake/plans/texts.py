@@ -205,6 +205,35 @@ def filtered_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("pos", "matched_keywords", "download_status", "parse_status", "report_status")
 
 
+def _good(x: str) -> str:
+    return f"(regexp_matches({x}, '[\\x{{3400}}-\\x{{9fff}}]') AND NOT contains(lower({x}), 'llm 总结失败') AND NOT contains(lower({x}), '请修复') AND length({x}) >= 12)"
+
+
+def _first_good(x: str) -> str:
+    listed = f"list_filter(list_transform(regexp_extract_all({x}, '[^。！？!?；;]+[。！？!?；;]?'), lambda p: {_strip('p')}), lambda p: p <> '' AND {_good('p')})"
+    return f"CASE WHEN len({listed}) > 0 THEN {listed}[1] WHEN {_good(x)} THEN {x} ELSE '' END"
+
+
+_ONE_LINE = "regexp_replace(coalesce({x}, ''), '[\\r\\n#]+', ' ', 'g')"
+
+
+@query(
+    f"""WITH i AS (SELECT pos, {_intro(_strip(_ONE_LINE.format(x='abstract')))} AS a, {_intro(_strip(_ONE_LINE.format(x='keywords')))} AS b, CASE WHEN regexp_matches({_strip("'研究任务：' || " + _ONE_LINE.format(x='title'))}, '：\\s*.') THEN {_intro(_ONE_LINE.format(x='title'))} ELSE '' END AS t FROM all_papers),
+g AS (SELECT pos, {_intro('x')} AS c1, {_intro('y')} AS c2, {_intro('t')} AS c3 FROM (SELECT pos, {_first_good('a')} AS x, {_first_good('b')} AS y, t FROM i)),
+l AS (SELECT pos, list_filter([c1, CASE WHEN c2 <> c1 THEN c2 END, CASE WHEN c3 <> c1 AND c3 <> c2 THEN c3 END], lambda v: v IS NOT NULL AND {_good('v')}) AS l FROM g),
+h AS (SELECT pos, {_intro("CASE WHEN len(l) = 0 THEN '' ELSE list_reduce(l, lambda h, v: CASE WHEN length(h) >= 220 THEN h ELSE h || ' ' || v END) END")} AS x FROM l),
+c AS (SELECT pos, x, rtrim(substr(x, 1, 320)) AS c FROM h)
+SELECT pos, CASE WHEN length(x) <= 320 THEN x ELSE coalesce({', '.join(_MARK_AT.format(m=m) for m in '。！？；')}, regexp_replace(c, '[，,；;：:、 ]+$', '') || '。') END AS introduction FROM c"""
+)
+def summary_introductions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Introductions from summaries made of the papers' abstracts (core question), keywords (method) and titles (task)."""
+    one = lambda name: F.regexp_replace(F.coalesce(name, F.lit("")), "[\r\n#]+", " ")
+    summary = F.concat(
+        F.lit("# x\n## 基本信息\n- 研究任务："), one("title"), F.lit("\n## 核心问题\n"), one("abstract"), F.lit("\n## 方法概述\n"), one("keywords"), F.lit("\n## 主要结果\nx")
+    )
+    return table(spark, sf_dir, "all_papers").select("pos", reports.introduction_from_summary(summary).alias("introduction"))
+
+
 # ---- names, lists, predicates ------------------------------------------------------------------------
 
 

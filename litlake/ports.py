@@ -45,6 +45,15 @@ class TableFetcher:
         return self.pages[url]
 
 
+class HashFetcher:
+    """Answers with the SHA-1 of the address, in hex; addresses without a host are errors."""
+
+    def fetch(self, url: str) -> bytes:
+        if "://" not in url:
+            raise ValueError(f"no address: {url}")
+        return hashlib.sha1(url.encode()).hexdigest().encode()
+
+
 class UrlFetcher:
     """Fetches over HTTP with a time limit."""
 

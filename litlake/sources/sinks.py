@@ -107,6 +107,8 @@ def write_files(contents: DataFrame, folder: str, name: str = "file", content: s
 
     import pandas as pd
 
+    folder = folder.removeprefix("file://").removeprefix("file:")
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         os.makedirs(folder, exist_ok=True)
         for batch in batches:

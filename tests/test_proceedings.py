@@ -99,3 +99,26 @@ def test_job_lifecycle(spark):
     got = {(r["job"], r["seq"]): (r["status"], r["current_index"], r["completed"], r["failed_files"], r["exit_code"]) for r in joblog.job_states(df, "job", ["seq"], "event", "total").collect()}
     assert [got["a", i][0] for i in range(1, 7)] == ["queued", "running", "running", "running", "running", "failed"]
     assert got["a", 6] == ("failed", 2, 1, 2, 1) and got["b", 2] == ("completed", 1, 1, 0, 0) and got["c", 3][0] == "canceled"
+
+
+def test_steps_on_the_command_line(spark, tmp_path, monkeypatch):
+    import types
+
+    module = types.ModuleType("stand_ins")
+    pages = {"https://openaccess.thecvf.com/ICCV2023?day=all": (pair("Emotion A", "http://x/a.pdf") + pair("Other", "http://x/o.pdf")).encode(), "http://x/a.pdf": b"# T\n\ntext"}
+    module.fetcher = lambda: ports.TableFetcher(pages)
+    module.completer = ports.HashCompleter
+    module.parser = lambda: lambda c: c.select(F.regexp_replace("file", ".pdf$", "").alias("stem"), F.col("file").alias("pdf_path"), F.decode("content", "UTF-8").alias("full_text"), F.lit("").alias("venue"), F.lit("").alias("year"))
+    monkeypatch.setitem(__import__("sys").modules, "stand_ins", module)
+    common = ["--fetcher", "stand_ins:fetcher"]
+    papers, kept, status = (str(tmp_path / n) for n in ("ICCV2023_papers.csv", "ICCV2023_kept.csv", "status.xlsx"))
+    pipeline.main(["fetch", "--conference", "ICCV", "--year", "2023", "--output", papers, *common])
+    pipeline.main(["filter", "--input", papers, "--output", kept, "--keywords", "emotion"])
+    pipeline.main(["download", "--input", kept, "--output", status, "--folder", str(tmp_path / "pdfs"), *common])
+    assert [p.name for p in (tmp_path / "pdfs").iterdir()] == ["2023_ICCV_Emotion A.pdf"]
+    parsed = str(tmp_path / "parsed.parquet")
+    spark.createDataFrame([("2023_ICCV_Emotion A", "# T\n\ntext")], "stem string, full_text string").write.parquet(parsed)
+    pipeline.main(["summarize", "--input", parsed, "--output", str(tmp_path / "s.parquet"), "--folder", str(tmp_path / "md"), "--completer", "stand_ins:completer"])
+    assert [p.name for p in (tmp_path / "md").iterdir()] == ["2023_ICCV_Emotion A.md"]
+    pipeline.main(["run", "--conference", "ICCV", "--year", "2023", "--keywords", "emotion", "--parser", "stand_ins:parser", "--completer", "stand_ins:completer", "--output", str(tmp_path / "all"), *common])
+    assert spark.read.parquet(str(tmp_path / "all/reports.parquet")).count() == 1 and spark.read.parquet(str(tmp_path / "all/status.parquet")).first()["report_status"] == "done"
