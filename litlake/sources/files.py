@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -41,67 +42,111 @@ def read_table(spark: SparkSession, path: str, sheet: str | int = 0) -> DataFram
     raise ValueError(f"unknown kind of table: {path}")
 
 
-def _cell_text(element: ElementTree.Element, space: dict[str, str]) -> str:
+_SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+
+
+def _cell_text(element: ElementTree.Element) -> str:
     """A cell's text; characters that XML can't hold stand in it as _xHHHH_."""
-    text = "".join(t.text or "" for t in element.iterfind(".//m:t", space))
+    text = "".join(t.text or "" for t in element.iter(f"{_SHEET}t"))
     return re.sub("_x([0-9A-Fa-f]{4})_", lambda m: chr(int(m[1], 16)), text)
 
 
-def _sheet_rows(content: bytes, sheet: str | int) -> list[list[str | None]]:
-    space = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
+def _parsed(book: zipfile.ZipFile, part: str, *path: str) -> Iterator[ElementTree.Element]:
+    """Elements at ``path`` under the root of a part, one at a time; the part is never held as a whole."""
+    tags = [f"{_SHEET}{tag}" for tag in path]
+    with book.open(part) as xml:
+        above: list[ElementTree.Element] = []
+        for event, element in ElementTree.iterparse(xml, ("start", "end")):
+            if event == "start":
+                above.append(element)
+                continue
+            above.pop()
+            if 0 < len(above) <= len(tags):
+                if [e.tag for e in (*above[1:], element)] == tags:
+                    yield element
+                above[-1].clear()
+
+
+def _sheet_rows(source: str | bytes, sheet: str | int) -> Iterator[list[str | None]]:
+    """Rows of a workbook, a local path or a content, as they are read; of shared strings those read so far are kept."""
     rel = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
-    with zipfile.ZipFile(io.BytesIO(content)) as book:
-        names = book.namelist()
-        shared = []
-        if "xl/sharedStrings.xml" in names:
-            root = ElementTree.fromstring(book.read("xl/sharedStrings.xml"))
-            shared = [_cell_text(si, space) for si in root.iterfind("m:si", space)]
-        sheets = ElementTree.fromstring(book.read("xl/workbook.xml")).findall("m:sheets/m:sheet", space)
+    with zipfile.ZipFile(source if isinstance(source, str) else io.BytesIO(source)) as book:
+        shared: list[str] = []
+        strings = _parsed(book, "xl/sharedStrings.xml", "si")
+        sheets = ElementTree.fromstring(book.read("xl/workbook.xml")).findall(f"{_SHEET}sheets/{_SHEET}sheet")
         chosen = sheets[sheet] if isinstance(sheet, int) else next(s for s in sheets if s.get("name") == sheet)
         targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
         target = targets[chosen.get(rel)].lstrip("/")
-        root = ElementTree.fromstring(book.read(target if target.startswith("xl/") else f"xl/{target}"))
-    rows = []
-    for row in root.iterfind("m:sheetData/m:row", space):
-        cells: dict[int, str | None] = {}
-        for n, c in enumerate(row.iterfind("m:c", space)):
-            letters = re.match("[A-Z]*", c.get("r", ""))[0]
-            place = n
-            if letters:
-                place = 0
-                for x in letters:
-                    place = place * 26 + ord(x) - 64
-                place -= 1
-            kind, value = c.get("t"), c.find("m:v", space)
-            if kind == "inlineStr":
-                cells[place] = _cell_text(c, space)
-            elif value is not None:
-                cells[place] = shared[int(value.text)] if kind == "s" else value.text
-        rows.append([cells.get(i) for i in range(max(cells, default=-1) + 1)])
-    return rows
+        for row in _parsed(book, target if target.startswith("xl/") else f"xl/{target}", "sheetData", "row"):
+            cells: dict[int, str | None] = {}
+            for n, c in enumerate(row.iterfind(f"{_SHEET}c")):
+                letters = re.match("[A-Z]*", c.get("r", ""))[0]
+                place = n
+                if letters:
+                    place = 0
+                    for x in letters:
+                        place = place * 26 + ord(x) - 64
+                    place -= 1
+                kind, value = c.get("t"), c.find(f"{_SHEET}v")
+                if kind == "inlineStr":
+                    cells[place] = _cell_text(c)
+                elif value is not None and kind == "s":
+                    while len(shared) <= int(value.text):
+                        shared.append(_cell_text(next(strings)))
+                    cells[place] = shared[int(value.text)]
+                elif value is not None:
+                    cells[place] = value.text
+            yield [cells.get(i) for i in range(max(cells, default=-1) + 1)]
+
+
+#: Characters of a block of rows, about.
+_BLOCK = 4_000_000
+
+
+def _blocks(rows: Iterator[list[str | None]], width: int) -> Iterator[list[list[str | None]]]:
+    """Rows of ``width`` cells in blocks of about ``_BLOCK`` characters."""
+    block, size = [], 0
+    for row in rows:
+        block.append((row + [None] * width)[:width])
+        size += width + sum(map(len, filter(None, row)))
+        if size >= _BLOCK:
+            yield block
+            block, size = [], 0
+    if block:
+        yield block
 
 
 def read_excel(spark: SparkSession, path: str, sheet: str | int = 0) -> DataFrame:
     """A sheet of each .xlsx file of ``path``, the first row as header; all cells strings.
 
-    A workbook is parsed in one task, as its format can't be split; its header
-    is read on the driver.
+    A workbook is parsed in one task, row by row, as its format can't be split.
+    Files of a folder that all machines share are opened there, those of other
+    stores come as their content.  The driver gets the header only.
     """
     files = spark.read.format("binaryFile").load(path)
-    first = files.orderBy("path").select("content").first()
+    first = files.agg(F.min("path")).first()[0]
     if first is None:
         raise FileNotFoundError(path)
-    rows = _sheet_rows(bytes(first[0]), sheet)
-    header = [str(c) if c is not None else f"column_{i + 1}" for i, c in enumerate(rows[0] if rows else [])]
+    source = F.regexp_replace("path", "^file:(//)?", "") if first.startswith("file:") else F.col("content")
+
+    def head(batches):
+        for batch in batches:
+            for book in batch["source"]:
+                yield pd.DataFrame({"header": [next(_sheet_rows(book, sheet), [])]})
+
+    found = files.where(F.col("path") == first).select(source.alias("source")).mapInPandas(head, "header array<string>").first()[0]
+    header = [c if c is not None else f"column_{i + 1}" for i, c in enumerate(found)]
     schema = T.StructType([T.StructField(h, T.StringType()) for h in header])
 
     def parse(batches):
         for batch in batches:
-            for content in batch["content"]:
-                body = [(r + [None] * len(header))[: len(header)] for r in _sheet_rows(bytes(content), sheet)[1:]]
-                yield pd.DataFrame(body, columns=header, dtype=object)
+            for book in batch["source"]:
+                rows = _sheet_rows(book, sheet)
+                next(rows, None)
+                for body in _blocks(rows, len(header)):
+                    yield pd.DataFrame(body, columns=header, dtype=object)
 
-    return nulls_of_csv(files.select("content").mapInPandas(parse, schema))
+    return nulls_of_csv(files.select(source.alias("source")).mapInPandas(parse, schema))
 
 
 def list_files(spark: SparkSession, path: str, suffix: str = "pdf", recursive: bool = False, limit: int | None = None) -> DataFrame:

@@ -55,6 +55,42 @@ def test_workbook_round_trip(spark, tmp_path):
         sinks.write_table(spark.createDataFrame([("x" * 40_000,)], "v string"), path)
 
 
+def test_large_workbook_stays_off_the_driver(spark, tmp_path):
+    import tracemalloc
+
+    path = str(tmp_path / "a %20[b]{c}" / "t.xlsx")
+    df = spark.range(4000).selectExpr("cast(id as string) as n", "concat(sha2(cast(id as string), 512), repeat('x', 2000)) as v")
+    sinks.write_table(df, path)
+    folder = str(tmp_path / "a *")
+    for read in (lambda: files.read_table(spark, f"{folder}/t.xlsx"), lambda: sum(1 for _ in files._sheet_rows(path, 0))):
+        tracemalloc.start()
+        try:
+            back = read()
+            assert tracemalloc.get_traced_memory()[1] < 2_000_000  # the sheet has 8 MB
+        finally:
+            tracemalloc.stop()
+    assert back == 4001
+    assert sorted(files.read_table(spark, f"{folder}/t.xlsx").collect()) == sorted(df.collect())
+
+
+def test_workbook_parts(tmp_path):
+    path = tmp_path / "t.xlsx"
+    write_xlsx(tmp_path / "other.xlsx", [])
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    strings = ["b", "a", "c_x0041_"]
+    links = "<hyperlinks><row><c><v>no row</v></c></row></hyperlinks>"
+    with zipfile.ZipFile(path, "w") as z, zipfile.ZipFile(tmp_path / "other.xlsx") as other:
+        for part in ("xl/workbook.xml", "xl/_rels/workbook.xml.rels"):
+            z.writestr(part, other.read(part))
+        z.writestr("xl/sharedStrings.xml", f"<sst {main}>" + "".join(f"<si><r><t>{s[:1]}</t></r><r><t>{s[1:]}</t></r></si>" for s in strings) + "</sst>")
+        cells = '<row r="1"><c r="A1" t="s"><v>2</v></c><c r="C1" t="s"><v>0</v></c></row><row r="2"/><row r="4"><c r="AB4"><v>1.5</v></c><c r="B4" t="s"><v>1</v></c></row>'
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {main}><cols><col/></cols><sheetData>{cells}</sheetData>{links}</worksheet>")
+    rows = [["cA", None, "b"], [], [None, "a", *[None] * 25, "1.5"]]
+    assert list(files._sheet_rows(str(path), 0)) == list(files._sheet_rows(path.read_bytes(), "S")) == rows
+    assert [len(b) for b in files._blocks(iter([["x" * 3_000_000], [], ["y" * 1_000_000, "z"], [None]]), 1)] == [3, 1]
+    assert list(files._blocks(iter([["a", "b"], []]), 1)) == [[["a"], [None]]] and list(files._blocks(iter([]), 3)) == []
+
+
 def test_listing(spark, tmp_path):
     for name in ("b.pdf", "a.PDF", "c.txt", "sub/d.pdf"):
         (tmp_path / name).parent.mkdir(exist_ok=True)
